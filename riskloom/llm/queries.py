@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, decontam, sharding
 from .jaccard_join import jaccard_components
 
 
@@ -11,9 +13,75 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20)
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"), weights=[1.0] * 16, grown=[1.0] * 17)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+OP5_SQL = r"""
+WITH k AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t FROM documents),
+bids AS (
+  SELECT doc_id, size, key, t, s, CAST('0x' || substr(md5(key || ':' || s), 1, 15) AS BIGINT) AS bid FROM k, range(17) AS r(s)),
+won AS (
+  SELECT doc_id, size, t, substr(md5(key || ':slot'), 1, 3) AS bucket,
+    arg_max(s, bid) FILTER (s < 16) AS shard, arg_max(s, bid) AS grown_shard FROM bids GROUP BY ALL)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CRC AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM won
+"""
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    turns = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))]
+    rows = rows.unionByName(spark.range(1).select(F.inline(F.array(*turns))))
+    out = chat.formatted(chat.as_records(rows)).withColumn("back", chat.read_back(F.col("formatted")))
+    loss = chat.loss_text(F.col("formatted"), F.col("loss_spans"))
+    told = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\<>]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op8_ngram_jaccard_join,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_benchmark_decontamination,
+        op5_sharding,
+        op7_chat_formatting,
+        op8_ngram_jaccard_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": decontam.ORACLE,
+    "op7_chat_formatting": OP7_SQL,
+}
