@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, sharding
+from . import chat, decontam, pieces, secret_scan, sharding, toxicity
 from .jaccard_join import jaccard_components
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, share=20)
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
@@ -72,13 +76,24 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.secret_spans(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load(pieces.MODEL), ids=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_toxicity,
         op4_benchmark_decontamination,
         op5_sharding,
         op7_chat_formatting,
         op8_ngram_jaccard_join,
+        op9_secret_scans,
+        op10_sentencepiece,
     )
 }
 ORACLE_SQL: dict[str, str] = {
