@@ -22,10 +22,10 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def only(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS) -> DataFrame:
-    """Rows of df whose key is in ids (distinct, of one column). Broadcasts ids only up to `most` rows."""
+def only(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS, anti: bool = False) -> DataFrame:
+    """Rows of df whose key is in ids (one column), or isn't. Broadcasts ids only up to `most` rows."""
     small = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if small else ids, on, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, on, "left_anti" if anti else "left_semi")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
