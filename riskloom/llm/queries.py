@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, pieces, secret_scan, sharding, suffix_dedup, toxicity
+from . import chat, decontam, embed_dedup, pieces, secret_scan, sharding, suffix_dedup, toxicity
 from .jaccard_join import jaccard_components
 
 
@@ -46,6 +46,10 @@ FROM won
 """
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -95,6 +99,7 @@ QUERIES = {
         op3_toxicity,
         op4_benchmark_decontamination,
         op5_sharding,
+        op6_embedding_near_dedup,
         op7_chat_formatting,
         op8_ngram_jaccard_join,
         op9_secret_scans,
