@@ -22,10 +22,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    return ids.limit(most + 1).count() <= most
+
+
 def only(df: DataFrame, ids: DataFrame, on: str, most: int = BROADCAST_IDS, anti: bool = False) -> DataFrame:
     """Rows of df whose key is in ids (one column), or isn't. Broadcasts ids only up to `most` rows."""
-    small = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if small else ids, on, "left_anti" if anti else "left_semi")
+    return df.join(F.broadcast(ids) if small(ids, most) else ids, on, "left_anti" if anti else "left_semi")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,6 +40,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, state = saved(e), None
+    if e.isEmpty():
+        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))

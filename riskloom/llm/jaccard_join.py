@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import only, saved
+from .frames import saved, small
 from .linker import digests, link, most_apart, parity_sketch, set_of
 from .textkit import mix, signed
 
@@ -111,14 +111,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     component_id is the smallest doc_id that links reach, the document's own included.
     """
     docs = docs.select("doc_id", "text")
+    repeats = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     units = saved(unit_table(docs, k))
-    classes = units.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = saved(units.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        reps = saved(only(classes, ids, "id").select("id", "doc_id"))
-        kept = only(docs.filter("doc_id is not null"), reps.select("doc_id").distinct(), "doc_id")
-        one = kept.join(reps, "doc_id").select("id", "text")
-        return saved(one.dropDuplicates(["id"]))
+        reps = classes.join(ids, "id").select("id", "doc_id")
+        kept = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]) if repeats else docs
+        return kept.join(F.broadcast(reps) if small(reps) else reps, "doc_id").select("id", "text")
 
     found = link(key_table(docs, k, num, den), classes.select("id", "n", "sketch"), texts_of, k, num, den)
     best = classes.filter("n > 0").select("id", "doc_id").join(found, "id", "left")

@@ -4,7 +4,7 @@ A *unit* is a class of texts with one shingle set (id: 64-bit digest of the set)
 (key, id) saying which buckets a unit is in. The linker
 
 1. keeps the buckets with two units or more;
-2. draws a spanning forest over each bucket, nearest parity sketches first, and verifies it;
+2. draws a spanning forest over each of a share of them, nearest parity sketches first, and verifies it;
 3. takes components of the verified links, and in each bucket looks at the pairs whose components
    still differ; it verifies all those whose sketches allow the similarity.
 
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import components, only, saved
+from .frames import components, saved
 from .textkit import SPACED, chunks, distinct, mix, shingles, signed, words
 
-#: Bits of a sketch: four a shingle, as a power of two between these.
-LEAST_BITS, MOST_BITS, FOREST_BITS = 128, 8192, 512
+#: Bits of a sketch: as many as shingles, rounded up to a power of two, between these.
+LEAST_BITS, MOST_BITS = 128, 8192
+#: The forest is drawn over one bucket in so many. Any choice gives the same links in the end.
+FOREST_SHARE = 4
 #: Rows of a bucket compared at a time.
 BLOCK = 1024
 
@@ -42,7 +44,7 @@ def parity_sketch(values: np.ndarray, first: np.ndarray) -> list[bytes]:
     h = mix(values ^ np.uint64(0x5851F42D4C957F2D))
     for a, b in zip(first[:-1], first[1:], strict=True):
         bits = LEAST_BITS
-        while bits < min(4 * (b - a), MOST_BITS):
+        while bits < min(b - a, MOST_BITS):
             bits *= 2
         odd = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
@@ -113,7 +115,7 @@ def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def pairs_in(n: np.ndarray, label: np.ndarray, sketch: list[bytes], num: int, den: int, forest: bool):
     """Index pairs of one bucket: a forest over those near enough, or all with different labels."""
-    size = min(FOREST_BITS // 8 if forest else MOST_BITS // 8, *map(len, sketch))
+    size = min(map(len, sketch))
     x = np.stack([fold(s, size) for s in sketch]).view(np.uint64)
     found = []
     for a in range(0, len(n), BLOCK):
@@ -209,19 +211,19 @@ def link(
     keys (key, id): buckets; units (id, n, sketch): size and sketch of each unit's set; texts_of(ids)
     gives (id, text) of those units. A unit without links has no row.
     """
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return saved(verified(pairs, texts_of(ids), k, num, den))
+
     shared = saved(crowded(keys))
-    known = only(units, shared.select("id").distinct(), "id")
-    rows = saved(shared.join(known, "id").withColumn("label", F.col("id")))
-    texts = texts_of(rows.select("id").distinct())
-    first = saved(verified(candidates(rows, num, den, True), texts, k, num, den))
+    some = shared.filter(F.pmod("key", F.lit(FOREST_SHARE)) == 0)
+    first = judged(candidates(some.join(units, "id").withColumn("label", F.col("id")), num, den, True))
     links = first.filter("good").select("a", "b")
-    if links.isEmpty():
-        label = rows.select("id", F.col("id").alias("label")).limit(0)
-    else:
-        label = components(links).withColumnRenamed("component", "label")
-    labelled = rows.drop("label").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    label = saved(components(links)).select("id", F.col("component").alias("label"))
+    labelled = shared.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    rest = candidates(labelled.join(mixed.select("key"), "key", "left_semi"), num, den, False)
-    rest = rest.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = saved(verified(rest, texts, k, num, den)).filter("good").select("a", "b")
-    return components(links.unionByName(second))
+    rest = candidates(labelled.join(mixed.select("key"), "key", "left_semi").join(units, "id"), num, den, False)
+    second = judged(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    return components(links.unionByName(second.filter("good").select("a", "b")))

@@ -59,7 +59,7 @@ RULES = (
     Rule("pem", (("exact", b"-----BEGIN "), ("any", ALNUM[:26] + b" "), ("exact", b"PRIVATE KEY-----")), rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
-SPAN = "array<struct<kind: string, start: int, end: int>>"
+SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
 @dataclass
@@ -213,7 +213,7 @@ def secret_spans(docs: DataFrame, others: list[str] | None = None) -> DataFrame:
     """docs' columns `others` (default: all but text), and secrets: array of kind, start, end."""
     shared = automaton(docs.sparkSession)
     keep = [c for c in (docs.columns if others is None else others) if c not in ("text", "secrets")]
-    schema = T.StructType([docs.schema[c] for c in keep]).add("secrets", SPAN)
+    schema = T.StructType([docs.schema[c] for c in keep]).add("secrets", T.ArrayType(SPAN))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
