@@ -253,5 +253,9 @@ def digest_columns(found: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256 and spans, from secret_spans()."""
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
     told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
