@@ -115,12 +115,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     units = saved(unit_table(docs, k))
     classes = saved(units.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        reps = classes.join(ids, "id").select("id", "doc_id")
+    def texts_of(some: DataFrame) -> DataFrame:
+        reps = some.select("id", "doc_id")
         kept = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]) if repeats else docs
         return kept.join(F.broadcast(reps) if small(reps) else reps, "doc_id").select("id", "text")
 
-    found = link(key_table(docs, k, num, den), classes.select("id", "n", "sketch"), texts_of, k, num, den)
+    found = link(key_table(docs, k, num, den), lambda ids: classes, texts_of, k, num, den)
     best = classes.filter("n > 0").select("id", "doc_id").join(found, "id", "left")
     best = best.withColumn("component", F.coalesce("component", "id"))
     least = best.groupBy("component").agg(F.min("doc_id").alias("component_id"))

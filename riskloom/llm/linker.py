@@ -204,20 +204,22 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def link(
-    keys: DataFrame, units: DataFrame, texts_of: Callable[[DataFrame], DataFrame], k: int, num: int, den: int
+    keys: DataFrame, units_of: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], k: int, num: int, den: int
 ) -> DataFrame:
     """(id, component) of the units that have links.
 
-    keys (key, id): buckets; units (id, n, sketch): size and sketch of each unit's set; texts_of(ids)
-    gives (id, text) of those units. A unit without links has no row.
+    keys (key, id): buckets; units_of(ids) gives (id, n, sketch), size and sketch of these units' sets,
+    and may give more; texts_of(units) gives (id, text). A unit without links has no row.
     """
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return saved(verified(pairs, texts_of(ids), k, num, den))
+        return saved(verified(pairs, texts_of(known.join(ids, "id")), k, num, den))
 
     shared = saved(crowded(keys))
+    known = units_of(shared.select("id").distinct())
+    units = known.select("id", "n", "sketch")
     some = shared.filter(F.pmod("key", F.lit(FOREST_SHARE)) == 0)
     first = judged(candidates(some.join(units, "id").withColumn("label", F.col("id")), num, den, True))
     links = first.filter("good").select("a", "b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, pieces, secret_scan, sharding, suffix_dedup, toxicity
+from . import chat, decontam, embed_dedup, paragraph_dedup, pieces, secret_scan, sharding, suffix_dedup, toxicity
 from .jaccard_join import jaccard_components
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.paragraph_dedup(table(spark, sf_dir, "documents"), k=5, num=4, den=5)
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), texts=False)
 
@@ -95,6 +99,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_paragraph_minhash,
         op2_suffix_array_dedup,
         op3_toxicity,
         op4_benchmark_decontamination,
