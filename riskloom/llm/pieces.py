@@ -206,11 +206,12 @@ def texts_in(column: pa.Array):
         yield row, ["" if t is None else t for t in column.slice(row, len(offs) - 1).to_pylist()]
 
 
-def encoded(docs: DataFrame, model: Model, ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), round_trip, and if asked ids and decoded."""
+def encoded(docs: DataFrame, model: Model, ids: bool = True, decode: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of little-endian 32-bit ids), decoded_sha256, round_trip; if asked ids and decoded."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
-    schema += ", ids array<int>, decoded string" if ids else ""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"] + ["ids"] * ids + ["decoded"] * decode
+    schema += ", ids array<int>" * ids + ", decoded string" * decode
 
     def run(batches):
         enc = Encoder(shared.value)
@@ -219,17 +220,19 @@ def encoded(docs: DataFrame, model: Model, ids: bool = True) -> DataFrame:
                 found = enc.encode(texts)
                 each = [np.frombuffer(x, "<i4") for x in found]
                 back = [decoded(shared.value, x) for x in each]
+                size = np.array([len(x) for x in each])
                 cols = [
                     b.column("doc_id").slice(row, len(texts)),
-                    pa.array([len(x) for x in each], pa.int64()),
+                    pa.array(size, pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in found]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)]),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if ids:
-                    cols += [pa.array(each, pa.list_(pa.int32())), pa.array([x.decode(errors="replace") for x in back])]
-                    names += ["ids", "decoded"]
+                    first = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                    cols.append(pa.ListArray.from_arrays(first, pa.array(np.frombuffer(b"".join(found), "<i4"))))
+                if decode:
+                    cols.append(pa.array([x.decode(errors="replace") for x in back], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -93,7 +93,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load(pieces.MODEL), ids=False)
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load(pieces.MODEL), ids=False, decode=False)
 
 
 QUERIES = {
