@@ -50,7 +50,7 @@ def netlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NETLOG_SQL = r"""
 netlog AS (
-  SELECT event_id, ts AS timestamp, epoch_ms(ts) AS ts_ms,
+  SELECT event_id, ts AS timestamp, epoch_us(ts) // 1000 AS ts_ms,
     '10.1.' || CAST(user_id // 250 AS VARCHAR) || '.' || CAST(1 + user_id % 250 AS VARCHAR) AS src_ip,
     CASE WHEN k < 60 THEN '10.1.' || CAST(k // 250 AS VARCHAR) || '.' || CAST(1 + k % 250 AS VARCHAR) ELSE '203.0.113.' || CAST(k AS VARCHAR) END AS dst_ip,
     [80, 443, 22, 53, 445, 3389, 8080][k % 7 + 1] AS dst_port,
