@@ -185,6 +185,8 @@ def later_windows(key, doc, place, segments: list[bytes]):
     some, at = some[order], at[order]
     later = np.concatenate([[False], cls[some][1:] == cls[some][:-1]])[: len(some)]
     owner, at = doc[run[some]][later], at[later]
+    if not len(at):
+        return owner, at, at
     order = np.lexsort((at, owner))
     owner, at = owner[order], at[order]
     new = np.ones(len(at), bool)
