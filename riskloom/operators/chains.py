@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import at_night, is_internal_ip
+from ..lineage import saved
 from .graph import degrees, union_all
 
 NODE = "struct<entity: string, role: string, risk_score: double>"
@@ -106,7 +107,7 @@ def rare_paths(nodes: DataFrame, edges: DataFrame, found: DataFrame, n_seeds: in
             F.least("since", "first_seen").alias("since"), F.greatest("until", "last_seen").alias("until"),
         )
         order = Window.partitionBy("seed", "at").orderBy(F.desc("rarity"), "path", F.transform("links", lambda e: e["edge_type"]))
-        paths = paths.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+        paths = saved(paths.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
         if hop >= least:
             mean_risk = F.aggregate("risks", F.lit(0.0), lambda a, x: a + x) / F.size("risks")
             score = 0.7 * F.least(F.col("rarity") / hop / 8, F.lit(1.0)) + 0.3 * mean_risk
@@ -183,7 +184,7 @@ def risky_edges(nodes: DataFrame, edges: DataFrame, found: DataFrame, n_seeds: i
 
 def scans(nodes: DataFrame, edges: DataFrame, least: float = 0.5, targets: int = 10, shown: int = 20) -> DataFrame:
     """Risky nodes with many distinct targets: recon_scan, with the first targets by name as assets."""
-    rows = edges.filter(F.col("edge_type").isin("network", "dns")).join(nodes.filter(F.col("risk_score") >= least).select(F.col("id").alias("src"), "risk_score"), "src")
+    rows = edges.drop("risk_score").filter(F.col("edge_type").isin("network", "dns")).join(nodes.filter(F.col("risk_score") >= least).select(F.col("id").alias("src"), "risk_score"), "src")
     each = rows.groupBy("src", "dst").agg(F.max("risk_score").alias("risk_score"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     order = Window.partitionBy("src").orderBy("dst")
     each = each.withColumn("r", F.row_number().over(order))
@@ -229,7 +230,7 @@ def deduplicated(chains: DataFrame) -> DataFrame:
     """
     each = chains.withColumn("who", entities_of(F.col("nodes")))
     order = Window.partitionBy("who").orderBy(F.desc("total_risk_score"), "chain_id")
-    each = each.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+    each = saved(each.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
     larger = each.select(F.col("who").alias("all"), F.explode("who").alias("one"))
     mine = each.select("who", F.element_at("who", 1).alias("one"))
     inside = mine.join(larger, "one").filter((F.size("all") > F.size("who")) & (F.size(F.array_except("who", "all")) == 0)).select("who").distinct()
@@ -253,8 +254,8 @@ def enrich(chains: DataFrame) -> DataFrame:
 
 def mine(nodes: DataFrame, edges: DataFrame, cut: float = 0.65, found: DataFrame | None = None) -> DataFrame:
     """All rules' chains, without repeats, enriched."""
-    edges = edge_frequency(edges)
-    found = seeds(nodes, edges) if found is None else found
+    edges = saved(edge_frequency(edges))
+    found = saved(seeds(nodes, edges) if found is None else found)
     parts = [
         path_chains(rare_paths(nodes, edges, found, cut=cut), edges),
         outbound(nodes, edges, found),

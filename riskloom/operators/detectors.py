@@ -14,6 +14,8 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import saved
+
 WEIGHTS = {"isolation_forest": 1.0, "graph_rare_path": 1.5, "ecod": 0.9, "density": 0.8, "reconstruction": 1.2}
 EULER = 0.5772156649015329
 
@@ -77,6 +79,7 @@ def ensemble(scores: dict[str, DataFrame], keys: list[str], weights: dict[str, f
     """
     weights, used, out = weights or WEIGHTS, [], None
     for name, s in scores.items():
+        s = saved(s)
         if not keep_constant and s.agg(F.min("score") == F.max("score")).first()[0]:
             continue
         part = average_rank(s, keys).withColumnRenamed("share", name)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import net, text
+from .lineage import saved
 from .operators import chains, detectors, dga, evaluation, features, graph, intel, risk
 from .plans import pipeline
 from .sources import dns, etw, syslog, waf
@@ -41,8 +42,7 @@ def scored_nodes(logs: DataFrame) -> DataFrame:
 
 def scored_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     logs = netlog(spark, d)
-    nodes = scored_nodes(logs)
-    return nodes, chains.edge_frequency(graph.build_edges(logs))
+    return saved(scored_nodes(logs)), saved(chains.edge_frequency(graph.build_edges(logs)))
 
 
 def flat_chains(df: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def ecod_scores(spark, d):
 
 @query
 def ensemble_ranks(spark, d):
-    f = features.entity_features(netlog(spark, d))
+    f = saved(features.entity_features(netlog(spark, d)))
     a = detectors.ecod(f, features.KEYS, VOLUME, digits=6)
     b = f.select(*features.KEYS, F.col("bytes_out_total").alias("score"))
     c = f.select(*features.KEYS, F.lit(0.0).alias("score"))
