@@ -109,7 +109,7 @@ pe AS (SELECT src_ip, event_type, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS ds
 ALL = "event_count events_per_sec unique_dst_ips unique_dst_ports unique_domains bytes_out_total bytes_in_total byte_ratio mean_iat std_iat iat_entropy business_hour_fraction beacon_score dst_ip_entropy dst_port_entropy mean_domain_len mean_domain_entropy nxdomain_fraction high_cv_domain_fraction auth_failure_ratio unique_users_attempted off_hours_auth_fraction new_user_auth waf_alert_density unique_waf_rules max_waf_severity regularity".split()
 sql(
     "entity_features", VOLUME_CTE, AGG, GAPS, TIMING, BINS, ENT,
-    select=" SELECT src_ip, event_type, " + ", ".join(num(f"coalesce({f}, 0.0)", f, 5) for f in ALL)
+    select=" SELECT src_ip, event_type, " + ", ".join(num(f"coalesce({f}, 0.0)", f, 2 if f in ("mean_iat", "std_iat") else 5) for f in ALL)
     + f", {num('std_iat / greatest(mean_iat, 1e-6)', 'burstiness', 5)}, CAST(1.0 AS DOUBLE) AS rare_ip_fraction, CAST(1.0 AS DOUBLE) AS new_ip_fraction, CAST(0.0 AS DOUBLE) AS geo_diversity, CAST(0.0 AS DOUBLE) AS mean_dns_ttl"
     + " FROM vol JOIN agg USING (src_ip, event_type) JOIN timing USING (src_ip, event_type) LEFT JOIN iat USING (src_ip, event_type) LEFT JOIN ipe USING (src_ip, event_type) LEFT JOIN pe USING (src_ip, event_type)",
 )

@@ -63,7 +63,8 @@ def top_risky_addresses(spark, d):
 
 @query
 def entity_features(spark, d):
-    return rounded(features.entity_features(netlog(spark, d)), 5)
+    f = features.entity_features(netlog(spark, d))
+    return rounded(f.withColumns({c: F.round(c, 2) for c in ("mean_iat", "std_iat")}), 5)
 
 
 @query
