@@ -11,6 +11,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IPV4_TOKEN = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
 IPV4 = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
@@ -21,7 +22,7 @@ INTERNAL_RANGES = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_v6(texts: pd.Series) -> pd.Series:
     def one(t):
         try:
