@@ -168,9 +168,9 @@ def reconstruction(df: DataFrame, keys: list[str], features: list[str], componen
     Stands in for an autoencoder: the linear one, with the same bottleneck idea.
     """
     rows = df.select(*keys, *[F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f) for f in features])
-    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(rows)
-    rows = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(rows).transform(rows)
-    model = PCA(k=min(components, len(features)), inputCol="x", outputCol="z").fit(rows)
+    rows = VectorAssembler(inputCols=features, outputCol="_features").transform(rows)
+    rows = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True).fit(rows).transform(rows)
+    model = PCA(k=min(components, len(features)), inputCol="_scaled", outputCol="_parts").fit(rows)
     pc = model.pc.toArray()
 
     @F.pandas_udf("double")
@@ -180,7 +180,7 @@ def reconstruction(df: DataFrame, keys: list[str], features: list[str], componen
 
     from pyspark.ml.functions import vector_to_array
 
-    raw = rows.select(*keys, error(vector_to_array("x")).alias("raw"))
+    raw = rows.select(*keys, error(vector_to_array("_scaled")).alias("raw"))
     ends = raw.agg(F.percentile("raw", F.lit(0.95)).alias("high"))
     score = F.least(F.lit(1.0), F.col("raw") / F.greatest("high", F.lit(1e-10)))
     return raw.join(F.broadcast(ends)).select(*keys, score.alias("score"))
