@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import components, saved
-from .textkit import SPACED, chunks, distinct, mix, shingles, signed, words
+from .textkit import SPACED, chunks, distinct, mix, shingles, words
 
 #: Bits of a sketch: as many as shingles, rounded up to a power of two, between these.
 LEAST_BITS, MOST_BITS = 128, 8192
