@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _FIELDS = """event_id string, timestamp timestamp, ingest_time timestamp, source_type string, sensor_id string,
 src_ip string, src_port int, dst_ip string, dst_port int, proto string, event_type string, severity tinyint,
@@ -13,9 +12,10 @@ bytes_in bigint, bytes_out bigint, duration_ms int, dns_rcode string, dns_rdata
 waf_rule_id string, raw_message string, tags array<string>"""
 LOG_FIELDS = [tuple(f.strip().split(" ", 1)) for f in _FIELDS.replace("\n", " ").split(",")]
 LOG_SCHEMA = _FIELDS.replace("\n", " ")
+#: Fixed names of event types.
 EVENT_TYPES = (
     "network_connect", "dns_query", "http_request", "auth_success", "auth_failure", "process_create",
-    "file_create", "file_delete", "registry_modify", "waf_alert", "suspicious_traffic", "file_modify",
+    "file_create", "file_delete", "registry_modify", "waf_alert", "suspicious_traffic", "network_listen",
 )
 SOURCE_TYPES = ("syslog", "etw", "waf", "dns")
 
