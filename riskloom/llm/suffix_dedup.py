@@ -98,8 +98,23 @@ def parts(data: np.ndarray, offs: np.ndarray):
         yield piece, np.array([0, len(piece)]), at
 
 
+def not_first(key: np.ndarray, digest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which runs come after an equal run among these. Such a run is no first one among all runs either."""
+    order = np.lexsort((place, doc, digest, key))
+    k, d, i, p = (x[order] for x in (key, digest, doc, place))
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])[: len(k)])
+    nth = np.repeat(head, np.diff(np.append(head, len(k))))
+    out = np.zeros(len(key), bool)
+    out[order] = (i != i[nth]) | (p != p[nth])
+    return out
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """(key, digest, doc_id, place) of every run; place: first window << 14 | windows << 7 | anchor's offset."""
+    """(key, digest, doc_id, place, known) of every run; place: first window << 14 | windows << 7 | anchor's offset.
+
+    known: an equal run comes before it in the same piece of input. Nothing more need be compared, so key
+    is then a hash of the document (digest 0), and copies of one run are not dealt to one task.
+    """
 
     def run(batches):
         for b in batches:
@@ -109,10 +124,14 @@ def anchors(docs: DataFrame) -> DataFrame:
                     first, count, offset, key, digest = runs(data, cut)
                     doc = np.searchsorted(cut, first, "right") - 1
                     place = (first - cut[doc] + base) << 14 | count << 7 | offset
-                    cols = [signed(key), signed(digest), ids[row + doc], place]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "digest", "doc_id", "place"])
+                    owner = ids[row + doc]
+                    known = not_first(key, digest, owner, place)
+                    key = np.where(known, mix(owner.astype(np.uint64)), key)
+                    digest = np.where(known, np.uint64(0), digest)
+                    cols = [signed(key), signed(digest), owner, place, known]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "digest", "doc_id", "place", "known"])
 
-    return docs.mapInArrow(run, "key long, digest long, doc_id long, place long")
+    return docs.mapInArrow(run, "key long, digest long, doc_id long, place long, known boolean")
 
 
 def equal_classes(buf: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -243,8 +262,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         "doc_id",
         "key",
         "place",
-        "dense_rank() over (partition by key, digest order by doc_id, place) > 1 as whole",
-        "min(digest) over (partition by key) <> max(digest) over (partition by key) as part",
+        "known or dense_rank() over (partition by key, known, digest order by doc_id, place) > 1 as whole",
+        "min(digest) over (partition by key, known) <> max(digest) over (partition by key, known) as part",
     )
     rows = rows.filter("whole or part").groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("whole"), F.col("place"))).alias("whole"),
