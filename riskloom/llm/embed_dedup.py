@@ -6,10 +6,13 @@
 3. In each shard a graph is built: candidates are the nearest nodes of the shard, and robust pruning
    drops a candidate that lies nearer to one already kept than to the node itself by factor ALPHA.
    The adjacency lists that a node got in its shards are united.
-4. Each node searches the united graph greedily from the medoid of each of its shards; when the beam
-   settles, the search widens to every node within the range, following neighbours of hits. A search
-   runs in the task that holds its shard's nodes and their united lists.
-5. Every pair found is verified: cosine in double precision.
+4. Each node searches the united graph greedily from the medoids of each of its shards, one for each
+   part of the shard's graph that no edge joins to the rest (a group of more near copies than CANDIDATES
+   is such a part); when the beam settles, the search widens to every node within the range, following
+   neighbours of hits. A search runs in the task that holds its shard's nodes and their united lists.
+5. The nodes of the shard within the range are counted by one matrix product; where a search found
+   fewer, the node's row of the product gives them all. So no pair is lost that meets in a shard.
+6. Every pair found is verified: cosine in double precision.
 
 More centres are drawn for more nodes, so that a shard has about SHARD of them. audit() measures recall
 against brute force for every vector whose id is divisible by 50.
@@ -84,13 +87,42 @@ def robust_pruned(x: np.ndarray, block: int = 512) -> np.ndarray:
     return out
 
 
-def searched(x: np.ndarray, graph: list[np.ndarray], medoid: int, queries: np.ndarray, least: float):
+def medoids(x: np.ndarray, graph: list[np.ndarray]) -> list[int]:
+    """The medoid of each part of a graph (edges go both ways) that no edge joins to the rest."""
+    part, out = np.full(len(x), -1), []
+    for n in range(len(x)):
+        if part[n] < 0:
+            part[n], todo, own = len(out), [n], []
+            while todo:
+                own.append(at := todo.pop())
+                new = graph[at][part[graph[at]] < 0]
+                part[new] = len(out)
+                todo += new.tolist()
+            out.append(own[int(np.argmax(x[own] @ x[own].mean(axis=0)))])
+    return out
+
+
+def completed(x: np.ndarray, q: np.ndarray, n: np.ndarray, least: float, block: int = 512):
+    """The pairs (q, n), and all pairs of those nodes that have more others within the range than pairs."""
+    found = np.bincount(q, minlength=len(x))
+    left, right = [q], [n]
+    for at in range(0, len(x), block):
+        near = x[at : at + block] @ x.T >= least
+        near[np.arange(len(near)), at + np.arange(len(near))] = False
+        short = np.flatnonzero(near.sum(axis=1) > found[at : at + block])
+        i, j = np.nonzero(near[short])
+        left.append(at + short[i])
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def searched(x: np.ndarray, graph: list[np.ndarray], starts: list[int], queries: np.ndarray, least: float):
     """(query, node) pairs with cosine of about `least` or more: greedy search, then range expansion."""
     found_q, found_n = [], []
     for q in queries:
         v = x[q]
-        seen = {medoid}
-        beam = [(float(x[medoid] @ v), medoid)]
+        seen = set(starts)
+        beam = sorted(zip((x[starts] @ v).tolist(), starts, strict=True), reverse=True)
         done: set[int] = set()
         while True:  # greedy: expand the nearest node of the beam that isn't yet
             at = next((n for _, n in beam if n not in done), None)
@@ -111,9 +143,10 @@ def searched(x: np.ndarray, graph: list[np.ndarray], medoid: int, queries: np.nd
                 hits.update(near)
                 todo += near
         hits.discard(int(q))
-        found_q += [q] * len(hits)
-        found_n += list(hits)
-    return np.array(found_q, np.int64), np.array(found_n, np.int64)
+        found_q.append(np.full(len(hits), q, np.int64))
+        found_n.append(np.fromiter(hits, np.int64, len(hits)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_q]), np.concatenate([none, *found_n])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -186,8 +219,8 @@ def links(rows: DataFrame, graph: DataFrame, least: float) -> DataFrame:
             own = np.array(t.column("near")[int(i)].as_py() or [], np.int64)
             at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
             near.append(at[ids[at] == own])
-        medoid = int(np.argmax(x @ x.mean(axis=0)))
-        q, n = searched(x, near, medoid, np.arange(len(x)), least - 1e-6)
+        q, n = searched(x, near, medoids(x, near), np.arange(len(x)), least - 1e-6)
+        q, n = completed(x, q, n, least - 1e-6)
         good = cosines(raw[q], raw[n]) >= least if len(q) else np.zeros(0, bool)
         pair = np.unique(np.sort(np.stack([ids[q[good]], ids[n[good]]]), axis=0), axis=1) if len(q) else np.zeros((2, 0), np.int64)
         return pa.table({"a": pair[0], "b": pair[1]})

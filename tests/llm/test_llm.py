@@ -223,6 +223,24 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_groups_of_many_near_copies(spark):
+    """Groups with more members than candidate lists hold; shards hold several of them."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(13, 16))
+    x = np.concatenate([b + 0.02 * rng.normal(size=(n, 16)) for b, n in zip(base, [800] + [150] * 12, strict=True)])
+    x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    found = embed_dedup.near_duplicates(df)
+    got = {r.vec_id: r.n_links for r in found.collect()}
+    assert near.sum(axis=1).min() > 64
+    assert all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * near.sum()
+    assert embed_dedup.audit(df, found) >= 0.99
+
+
 LAYOUTS = [
     ({"messages": [{"role": "user", "content": "<a> \\l"}, {"role": "assistant", "content": "b"}]}, "messages"),
     ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, "conversations"),
