@@ -11,7 +11,8 @@ is scored by its highest word, its second highest, and the mean over all its let
 by a logistic regression.
 
 Labels are learned from at most FIT_ROWS rows a class (those whose hashed doc_id is smallest) for
-the counts and CALIBRATION_ROWS others for the regression; backoff counts cover every document.
+the counts and CALIBRATION_ROWS others for the regression; backoff counts cover every document. In the
+regression a row weighs as many labels as it stands for, so that the classes keep their share.
 Neither labels, doc_id, lang nor source are inputs of a score.
 
 Null and empty texts, and texts without letters, get the score of all-zero inputs. Without training
@@ -154,14 +155,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights by Newton's method, intercept first."""
+def logistic(x: np.ndarray, y: np.ndarray, stands_for: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights by Newton's method, intercept first. stands_for: the weight of each row."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, x.T @ (p - y) + ridge * w)
+        hess = (x * (stands_for * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(hess, x.T @ (stands_for * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -173,14 +174,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training(labels: DataFrame) -> DataFrame:
-    """(doc_id, cls, part) of the rows to learn from: part "fit" or "calibrate"; bounded by the constants."""
+    """(doc_id, cls, part, stands_for) of the rows to learn from: part "fit" or "calibrate"; bounded by the constants.
+
+    stands_for: labels of the part and class over rows taken of them.
+    """
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("cls"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("r", F.xxhash64("doc_id", F.lit("toxicity")))
     out = []
     for part, most, mine in (("fit", FIT_ROWS, F.pmod("r", F.lit(4)) > 0), ("calibrate", CALIBRATION_ROWS // 2, F.pmod("r", F.lit(4)) == 0)):
         for c in (0, 1):
-            rows = known.filter(mine & (F.col("cls") == c)).orderBy("r", "doc_id").limit(most)
-            out.append(rows.select("doc_id", F.col("cls").cast("int").alias("cls"), F.lit(part).alias("part")))
+            own = known.filter(mine & (F.col("cls") == c))
+            share = own.agg(F.greatest(F.count("*") / most, F.lit(1.0)).alias("stands_for"))
+            rows = own.orderBy("r", "doc_id").limit(most).join(F.broadcast(share))
+            out.append(rows.select("doc_id", F.col("cls").cast("int").alias("cls"), F.lit(part).alias("part"), "stands_for"))
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
@@ -202,7 +208,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     chosen = docs.select("doc_id", "text").join(F.broadcast(rows.filter("part = 'calibrate'")), "doc_id")
     known = features(chosen, scorer, "cls int").toPandas()
     if len(g) and known.cls.nunique() == 2:
-        scorer.weights = logistic(known[["a", "b", "c"]].to_numpy(), known.cls.to_numpy())
+        share = {r["cls"]: r["stands_for"] for r in rows.filter("part = 'calibrate'").select("cls", "stands_for").distinct().collect()}
+        scorer.weights = logistic(known[["a", "b", "c"]].to_numpy(), known.cls.to_numpy(), known.cls.map(share).to_numpy())
     return scorer
 
 

@@ -155,6 +155,17 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_classes_keep_their_share(spark, monkeypatch):
+    """Labels that texts say little about, one in ten toxic, and more of both than calibration takes."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(6)).replace("w", rng.choice("abcdef")) for _ in range(4000)]
+    labels = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in range(4000)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 100)
+    got = toxicity.toxicity(docs(spark, texts), labels).collect()
+    assert 0.05 < np.mean([r.score for r in got]) < 0.2
+    assert np.mean([r.predicted for r in got]) < 0.1
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     item = " ".join(rng.choice(WORDS) for _ in range(20))
