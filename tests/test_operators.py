@@ -90,6 +90,18 @@ def test_rare_path_with_defaults(spark):
     assert out[0].chain_type == "data_exfil"
 
 
+def test_rare_path_scores_follow_every_edge(spark):
+    """A path of five edges, the last of them less rare than 25 others out of its node; nodes without paths; no rare edge."""
+    names = "src string, dst string, rarity double"
+    rows = [("g", "a", 9.0), ("a", "b", 9.0), ("b", "c", 9.0), ("c", "d", 9.0), ("d", "e", 9.0), ("e", "f", 8.0)] + [("e", f"x{i:02}", 8.5) for i in range(25)] + [("y", "z", 1.0)]
+    got = {r.id: r.score for r in graph.rare_path_scores(spark.createDataFrame(rows, names), percentile=0.0).collect()}
+    assert set(got) == {*"abcdefgyz"} | {f"x{i:02}" for i in range(25)}
+    assert got["f"] == pytest.approx(sum((9 * n + 8) / (n + 1) for n in (1, 2, 3, 4)) / 4)
+    assert got["g"] == got["y"] == got["z"] == 0
+    got = {r.id: r.score for r in graph.rare_path_scores(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], names)).collect()}
+    assert got == {"a": 1.5, "b": 1.5, "c": 1.5}
+
+
 def test_contained_chains_go(spark):
     def c(i, who, risk):
         return (i, "x", [(w, "source", 0.0) for w in who], [], risk, risk, 0, 0, list(who))
