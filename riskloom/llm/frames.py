@@ -8,15 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids are broadcast up to this many (about 16 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 4_000_000
+#: Ids are broadcast up to this many (about 40 bytes each in the hash table); beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
+#: Links that are worked on together where there are few.
+EDGES_A_PARTITION = 200_000
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; only where that is unset (as in tests) a new one."""
+    """The shared folder in spark.checkpoint.dir; a new local one only where that is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp())
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; rows hold whole texts here
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -33,6 +40,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def with_text_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id (long), text, and same: tells rows of one doc_id with different texts apart; whether any doc_id repeats (if not, same is 0)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeats = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return docs.withColumn("same", F.xxhash64("text") if repeats else F.lit(0).cast("long")), repeats
+
+
 def small(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
     return ids.limit(most + 1).count() <= most
 
@@ -47,25 +61,41 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps. Each takes a minimum per id (a partial aggregate)
     and joins it back, so no id's neighbours are gathered into one row. Loops and repeated edges
-    are allowed; an empty table gives an empty one.
+    are allowed; an empty table gives an empty one. Few edges are kept in few partitions.
     """
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, state = saved(e), None
-    if e.isEmpty():
-        return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts) if parts else df
+
+    parts = 0
+    e, state = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
     for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
+        if now == state or not now[0]:
+            break
+        state, parts = now, now[0] // EDGES_A_PARTITION + 1
+        e = e.coalesce(parts)
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = held(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
-        if now == state:
-            break
-        state = now
+        e = saved(held(held(small.unionByName(least.select("u", F.col("m").alias("v")))).distinct()))
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def joined_components(label: DataFrame, links: DataFrame) -> DataFrame:
+    """components() after more links (a, b): only components are linked anew, not their members."""
+    ends = links
+    for end in ("a", "b"):
+        of = label.select(F.col("id").alias(end), F.col("component").alias("c"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    above = saved(components(ends))
+    top = above.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    known = label.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    new = above.join(label.select("id"), "id", "left_anti")
+    return known.unionByName(new)

@@ -10,8 +10,12 @@ Sketches are never laid out: a part has 2**32 bits, and only the XOR of its set
 made, which is the same for equal parts. A part without set bits says nothing; a document with more
 other parts than d has an equal part among these, and the few others use the empty parts too.
 
-Null texts are empty. Texts without words have size 0 and link with nothing. Repeated rows of a
-doc_id count as one document each with the same doc_id; columns beyond doc_id and text are ignored.
+Null texts are empty. Texts without words have size 0 and link with nothing; they keep their own doc_id
+as component_id. Repeated rows each get a row; rows of one doc_id with different texts are judged each by
+its own text. A row with a null doc_id takes part, and its component_id is the smallest doc_id that is
+not null, or null if there is none. Ties: components depend on the links alone. Texts of any length are
+taken whole, a chunk of texts at a time. An empty table gives an empty one. Columns beyond doc_id and
+text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import saved, small
-from .linker import digests, link, most_apart, parity_sketch, set_of
-from .textkit import mix, signed
+from .frames import saved, small, with_text_key
+from .linker import digests, link, most_apart, parity_sketch, set_of, verified_texts
+from .textkit import mix, signed, taken
 
 #: Ratio of a band's sizes; a set is also in the band below while that may hold partners.
 BAND = 1.6
@@ -68,22 +72,16 @@ def part_keys(values: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
 
 
 def unit_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, id, n, sketch): each document's set as digest, size and parity sketch."""
+    """(doc_id, same, id, n, sketch): each document's set as digest, size and parity sketch."""
 
     def run(batches):
         for batch in batches:
             for row, values, first in set_of(batch.column("text"), k):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, len(first) - 1),
-                        pa.array(signed(digests(values, first))),
-                        pa.array(np.diff(first)),
-                        pa.array(parity_sketch(values, first), pa.binary()),
-                    ],
-                    ["doc_id", "id", "n", "sketch"],
-                )
+                own = batch.slice(row, len(first) - 1)
+                cols = [pa.array(signed(digests(values, first))), pa.array(np.diff(first)), pa.array(parity_sketch(values, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("same"), *cols], ["doc_id", "same", "id", "n", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, id long, n long, sketch binary")
+    return docs.select("doc_id", "same", "text").mapInArrow(run, "doc_id long, same long, id long, n long, sketch binary")
 
 
 def key_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -95,11 +93,7 @@ def key_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ids = digests(values, first)
                 _, once = np.unique(ids, return_index=True)
                 once.sort()
-                size = np.diff(first)[once]
-                own = np.zeros(len(once) + 1, np.int64)
-                np.cumsum(size, out=own[1:])
-                keep = np.concatenate([values[first[i] : first[i + 1]] for i in once]) if len(once) else values
-                keys, owner = part_keys(keep, own, num, den)
+                keys, owner = part_keys(*taken(values, first, once), num, den)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(signed(ids[once][owner]))], ["key", "id"])
 
     return docs.select("text").mapInArrow(run, "key long, id long")
@@ -110,17 +104,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
 
     component_id is the smallest doc_id that links reach, the document's own included.
     """
-    docs = docs.select("doc_id", "text")
-    repeats = not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    docs, repeats = with_text_key(docs)
     units = saved(unit_table(docs, k))
-    classes = saved(units.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    row = F.min(F.struct("doc_id", "same")).alias("row")
+    classes = saved(units.groupBy("id").agg(F.min("doc_id").alias("doc_id"), row, F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
-    def texts_of(some: DataFrame) -> DataFrame:
-        reps = some.select("id", "doc_id")
-        kept = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]) if repeats else docs
-        return kept.join(F.broadcast(reps) if small(reps) else reps, "doc_id").select("id", "text")
+    def verify(pairs: DataFrame, some: DataFrame) -> DataFrame:
+        reps = some.select("id", F.col("row.doc_id").alias("of"), F.col("row.same").alias("text_key"))
+        mine = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("text_key"))
+        texts = docs.join(F.broadcast(reps) if small(reps) else reps, mine).select("id", "text")
+        return verified_texts(pairs, texts.dropDuplicates(["id"]) if repeats else texts, k, num, den)
 
-    found = link(key_table(docs, k, num, den), lambda ids: classes, texts_of, k, num, den)
+    found = link(key_table(docs, k, num, den), lambda ids: classes, verify, num, den)
     best = classes.filter("n > 0").select("id", "doc_id").join(found, "id", "left")
     best = best.withColumn("component", F.coalesce("component", "id"))
     least = best.groupBy("component").agg(F.min("doc_id").alias("component_id"))

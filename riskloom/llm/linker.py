@@ -4,13 +4,21 @@ A *unit* is a class of texts with one shingle set (id: 64-bit digest of the set)
 (key, id) saying which buckets a unit is in. The linker
 
 1. keeps the buckets with two units or more;
-2. draws a spanning forest over each of a share of them, nearest parity sketches first, and verifies it;
-3. takes components of the verified links, and in each bucket looks at the pairs whose components
-   still differ; it verifies all those whose sketches allow the similarity.
-
-Step 2 makes one row less than the bucket has members. Step 3 makes rows only for pairs that no
-chain of links joins yet and that the sketches can't rule out: the Hamming distance of two parity
-sketches never exceeds the symmetric difference of the sets, so it drops no link.
+2. draws a spanning forest over each of a share of them, nearest parity sketches first, and verifies its
+   edges by the exact sets;
+3. takes components of the verified links, and draws forests in the buckets whose units are not all in
+   one component, between units of different components, but for those of step 2 without a failed edge;
+4. in the buckets where an edge of step 3 failed verifies all pairs between components whose sketches
+   allow the similarity.
+
+A pair that the sketches allow is joined by a chain of edges of its bucket's forest; if all of them hold,
+nothing is left to look at. A forest has one edge less than its bucket has members. Step 4 makes rows only for
+pairs that no chain of links joins and that the sketches can't rule out: the Hamming distance of two parity
+sketches never exceeds the symmetric difference of the sets, so it drops no link; and as a sketch has two bits
+or more for each member, it falls little short of the difference, so few pairs are left.
+
+Buckets of more than BLOCK members are cut into blocks, and each pair of blocks is a task's work of
+its own: a large bucket is compared by many tasks, none of which holds more than two blocks of it.
 """
 
 from __future__ import annotations
@@ -22,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import components, saved
+from .frames import components, joined_components, saved
 from .textkit import SPACED, chunks, distinct, mix, shingles, words
 
-#: Bits of a sketch: as many as shingles, rounded up to a power of two, between these.
-LEAST_BITS, MOST_BITS = 128, 8192
-#: The forest is drawn over one bucket in so many. Any choice gives the same links in the end.
+#: Bits of a sketch: SHARP for each shingle, rounded up to a power of two, between these.
+SHARP, LEAST_BITS, MOST_BITS = 2, 128, 16384
+#: The first forests are drawn over one bucket in so many, where units are in many. Any choice gives the same components.
 FOREST_SHARE = 4
-#: Rows of a bucket compared at a time.
-BLOCK = 1024
+#: Members of a bucket compared at a time, and pairs whose sketches are.
+BLOCK, PAIRS = 1024, 1 << 20
 
 
 def most_apart(a, b, num: int, den: int):
@@ -40,23 +48,23 @@ def most_apart(a, b, num: int, den: int):
 
 def parity_sketch(values: np.ndarray, first: np.ndarray) -> list[bytes]:
     """For each run of distinct shingles, the bits that an odd number of them hash to."""
-    out = []
+    size = np.diff(first)
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(size * SHARP, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
     h = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        bits = LEAST_BITS
-        while bits < min(b - a, MOST_BITS):
-            bits *= 2
-        odd = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    out: list[bytes] = [b""] * len(size)
+    for b in np.unique(bits):
+        own = np.flatnonzero(bits == b)
+        for at in range(0, len(own), max(1, (1 << 21) // int(b))):  # two million cells at a time
+            some = own[at : at + max(1, (1 << 21) // int(b))]
+            index = np.repeat(np.arange(len(some)) * b, size[some])
+            place = np.repeat(first[:-1][some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())
+            odd = np.bincount(index + (h[place] & np.uint64(b - 1)).astype(np.int64), minlength=len(some) * b) & 1
+            packed = np.packbits(odd.astype(np.uint8), bitorder="little").reshape(len(some), b // 8)
+            for i, row in zip(some.tolist(), packed, strict=True):
+                out[i] = row.tobytes()
     return out
 
 
-def fold(sketch: bytes, size: int) -> np.ndarray:
-    """The sketch in fewer bytes: bits that coincide are XORed, which is the parity again."""
-    x = np.frombuffer(sketch, np.uint8)
-    return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x
-
-
 def digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set; of the empty set, 0."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(0x2545F4914F6CDD1D)))])
@@ -89,7 +97,7 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def crowded(keys: DataFrame) -> DataFrame:
-    """The (key, id) rows, without repeats, of buckets with two ids or more."""
+    """The (key, id) rows, without repeats, of buckets with two ids or more; block and blocks: of BLOCK members each."""
 
     def run(batches):
         for t in grouped(batches, "key"):
@@ -97,97 +105,153 @@ def crowded(keys: DataFrame) -> DataFrame:
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
             k, i = k[new], i[new]
-            same = k[1:] == k[:-1]
-            more = np.zeros(len(k), bool)
-            more[1:] |= same
-            more[:-1] |= same
-            yield pa.RecordBatch.from_arrays([pa.array(k[more]), pa.array(i[more])], ["key", "id"])
+            head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.append(head, len(k)))
+            block = (np.arange(len(k)) - np.repeat(head, size)) // BLOCK
+            blocks = np.repeat(-(-size // BLOCK), size)
+            more = np.repeat(size > 1, size)
+            cols = [k, i, block.astype(np.int32), blocks.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], ["key", "id", "block", "blocks"])
+
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, block int, blocks int")
+
+
+class Sketches:
+    """The sketches of a table's rows, of different lengths."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        column = column.combine_chunks().cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        self.at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        self.data = np.frombuffer(data, np.uint8)
+        self.size = np.diff(self.at)
+
+    def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Sketches in `size` bytes: bits that coincide are XORed, which is the parity again."""
+        out = np.zeros((len(rows), size), np.uint8)
+        for own in np.unique(self.size[rows]):
+            some = np.flatnonzero(self.size[rows] == own)
+            x = self.data[self.at[rows[some]][:, None] + np.arange(own)]
+            out[some] = np.bitwise_xor.reduce(x.reshape(len(some), own // size, size), axis=1)
+        return out.view(np.uint64)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of rows i and j, pair by pair, in the shorter one's length."""
+        out = np.zeros(len(i), np.int64)
+        size = np.minimum(self.size[i], self.size[j])
+        for s in np.unique(size):
+            some = np.flatnonzero(size == s)
+            rows, back = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+            x, step = self.folded(rows, int(s)), max(1, (1 << 22) // int(s))
+            for a in range(0, len(some), step):
+                p, q = back[: len(some)][a : a + step], back[len(some) :][a : a + step]
+                out[some[a : a + step]] = np.bitwise_count(x[p] ^ x[q]).sum(axis=1)
+        return out
+
+
+def pairs_of(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs within runs of rows, about PAIRS at a time."""
+    left, right, held = [], [], 0
+    for s in np.unique(size[size > 1]):
+        a, b = np.triu_indices(s, 1)
+        own = first[size == s]
+        step = max(1, PAIRS // len(a))
+        for at in range(0, len(own), step):
+            left.append((own[at : at + step, None] + a).ravel())
+            right.append((own[at : at + step, None] + b).ravel())
+            held += len(left[-1])
+            if held >= PAIRS:
+                yield np.concatenate(left), np.concatenate(right)
+                left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def spanning(i: np.ndarray, j: np.ndarray, far: np.ndarray, count: int) -> np.ndarray:
+    """Which of the edges between nodes i and j (below count) are in a forest of the nearest."""
+    order = np.argsort(far, kind="stable")
+    top, keep = np.arange(count), []
+    while True:
+        order = order[top[i[order]] != top[j[order]]]
+        if not len(order):
+            return np.array(keep, np.int64)
+        nearest = np.full(count, -1)
+        for end in (j, i):  # of a node's edges the first one is written last
+            nearest[top[end[order[::-1]]]] = order[::-1]
+        for e in np.unique(nearest[nearest >= 0])[np.argsort(far[np.unique(nearest[nearest >= 0])], kind="stable")].tolist():
+            a, b = top[i[e]], top[j[e]]
+            while top[a] != a:
+                a = top[a]
+            while top[b] != b:
+                b = top[b]
+            if a != b:
+                top[max(a, b)] = min(a, b)
+                keep.append(e)
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def near_pairs(t: pa.Table, num: int, den: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs with one key and different labels that may be near enough: all, or a forest for each key. t is sorted by key."""
+    k, label, n, block = (t.column(c).to_numpy() for c in ("key", "label", "n", "block"))
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    size = np.diff(np.append(head, len(k)))
+    two = np.minimum.reduceat(block, head) != np.maximum.reduceat(block, head)  # these keys compare between blocks only
+    two = np.repeat(two, size)
+    sketches, found = Sketches(t.column("sketch")), []
+    for i, j in pairs_of(head, size):
+        fine = (label[i] != label[j]) & ~(two[i] & (block[i] == block[j]))
+        i, j = i[fine], j[fine]
+        fine = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+        i, j = i[fine], j[fine]
+        far = sketches.apart(i, j)
+        fine = far <= most_apart(n[i], n[j], num, den)
+        found.append((i[fine], j[fine], far[fine]))
+    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    if forest and len(i):
+        bucket = np.repeat(np.arange(len(head)), size)
+        node = np.unique(np.stack([bucket, label]), axis=1, return_inverse=True)[1].ravel()
+        keep = spanning(node[i], node[j], far, int(node.max()) + 1)
+        i, j = i[keep], j[keep]
+    return i, j
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
 
+def candidates(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs (bucket, a, b), a < b, from rows (key, id, block, blocks, label, n, sketch)."""
 
-def hamming(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), len(y)), np.int32)
-    for j in range(x.shape[1]):
-        out += np.bitwise_count(x[:, j, None] ^ y[None, :, j])
-    return out
+    def run(batches):
+        for t in grouped(batches, "key"):
+            i, j = near_pairs(t, num, den, forest)
+            if len(i):
+                ids, bucket = t.column("id").to_numpy(), t.column("bucket").to_numpy()
+                cols = bucket[i], np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "a", "b"])
 
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one, two = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.withColumn("bucket", F.col("key")).withColumn("other", other)
+    rows = rows.withColumn("key", F.when(F.col("blocks") > 1, F.xxhash64("key", one, two)).otherwise(F.col("key")))
+    rows = rows.repartition("key").sortWithinPartitions("key").select("key", "bucket", "id", "block", "label", "n", "sketch")
+    return rows.mapInArrow(run, "bucket long, a long, b long")
 
-def pairs_in(n: np.ndarray, label: np.ndarray, sketch: list[bytes], num: int, den: int, forest: bool):
-    """Index pairs of one bucket: a forest over those near enough, or all with different labels."""
-    size = min(map(len, sketch))
-    x = np.stack([fold(s, size) for s in sketch]).view(np.uint64)
-    found = []
-    for a in range(0, len(n), BLOCK):
-        for b in range(a, len(n), BLOCK):
-            far = hamming(x[a : a + BLOCK], x[b : b + BLOCK])
-            p, q = n[a : a + BLOCK, None], n[None, b : b + BLOCK]
-            near = far <= most_apart(p, q, num, den)
-            near &= np.minimum(p, q) * den >= np.maximum(p, q) * num
-            near &= label[a : a + BLOCK, None] != label[None, b : b + BLOCK]
-            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-            if not len(i):
-                continue
-            if forest and len(i) > len(n):
-                i, j = spanning(i, j, far[i, j], max(near.shape) + near.shape[0] * (a != b), near.shape[0] * (a != b))
-            found.append((i + a, j + b, far[i, j]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
-    return spanning(i, j, far, len(n)) if forest else (i, j)
-
-
-def spanning(i, j, far, n: int, shift: int = 0):
-    """Of the pairs (i, j + shift), nearest first, those that join what was apart."""
-    root = list(range(n + shift))
-
-    def top(u):
-        while root[u] != u:
-            root[u] = u = root[root[u]]
-        return u
-
-    keep = []
-    for e in np.argsort(far, kind="stable"):
-        u, v = top(int(i[e])), top(int(j[e]) + shift)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            keep.append(e)
-    return i[keep], j[keep]
 
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, good) of the pairs; sets (id, members); good: the sets have Jaccard num/den or more."""
+    s = sets.select(F.col("id").alias("a"), F.col("members").alias("s"))
+    t = sets.select(F.col("id").alias("b"), F.col("members").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    good = (both > 0) & (den * both >= num * (F.size("s") + F.size("t") - both))
+    return pairs.join(s, "a").join(t, "b").select("a", "b", good.alias("good"))
 
-def candidates(rows: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) from rows (key, id, label, n, sketch)."""
 
-    def run(batches):
-        for t in grouped(batches, "key"):
-            k, i, label, n = (t.column(c).to_numpy() for c in ("key", "id", "label", "n"))
-            sketch = t.column("sketch").to_pylist()
-            cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-            left, right = [], []
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b - a < 2 or (label[a:b] == label[a]).all():
-                    continue
-                p, q = pairs_in(n[a:b], label[a:b], sketch[a:b], num, den, forest)
-                left.append(i[a:b][p])
-                right.append(i[a:b][q])
-            if left:
-                x, y = np.concatenate(left), np.concatenate(right)
-                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
-
-    rows = rows.repartition("key").sortWithinPartitions("key").select("key", "id", "label", "n", "sketch")
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b, good) of the pairs; good: their texts' shingle sets have Jaccard num/den or more."""
+def verified_texts(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """As verified(), from texts (id, text): these take less room than their sets."""
 
     def run(batches):
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 256):  # a few hundred texts' sets at a time
-                part = batch.slice(at, 256)
-                sets = []
+            for at in range(0, batch.num_rows, 128):  # so many texts' sets at a time
+                part, sets = batch.slice(at, 128), []
                 for side in ("s", "t"):
                     own = []
                     for _, values, first in set_of(part.column(side), k):
@@ -204,28 +268,42 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def link(
-    keys: DataFrame, units_of: Callable[[DataFrame], DataFrame], texts_of: Callable[[DataFrame], DataFrame], k: int, num: int, den: int
+    keys: DataFrame, units_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], num: int, den: int, share: int = FOREST_SHARE
 ) -> DataFrame:
     """(id, component) of the units that have links.
 
     keys (key, id): buckets; units_of(ids) gives (id, n, sketch), size and sketch of these units' sets,
-    and may give more; texts_of(units) gives (id, text). A unit without links has no row.
+    and may give more; verify(pairs, units) gives (a, b, good) of pairs (a, b), from the units of both.
+    The first forests are drawn over one bucket in `share`; with 1, step 3 is left out. A unit without
+    links has no row.
     """
-
-    def judged(pairs: DataFrame) -> DataFrame:
-        pairs = saved(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return saved(verified(pairs, texts_of(known.join(ids, "id")), k, num, den))
-
     shared = saved(crowded(keys))
     known = units_of(shared.select("id").distinct())
     units = known.select("id", "n", "sketch")
-    some = shared.filter(F.pmod("key", F.lit(FOREST_SHARE)) == 0)
-    first = judged(candidates(some.join(units, "id").withColumn("label", F.col("id")), num, den, True))
-    links = first.filter("good").select("a", "b")
-    label = saved(components(links)).select("id", F.col("component").alias("label"))
-    labelled = shared.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
-    rest = candidates(labelled.join(mixed.select("key"), "key", "left_semi").join(units, "id"), num, den, False)
-    second = judged(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    return components(links.unionByName(second.filter("good").select("a", "b")))
+
+    def judged(rows: DataFrame, forest: bool) -> tuple[DataFrame, DataFrame]:
+        """Edges with their buckets, and (a, b, good)."""
+        edges = saved(candidates(rows.join(units, "id"), num, den, forest))
+        pairs = edges.select("a", "b").distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return edges, saved(verify(pairs, known.join(ids, "id")))
+
+    def mixed(rows: DataFrame, label: DataFrame) -> DataFrame:
+        """Rows of the buckets that are in several components."""
+        rows = rows.join(label.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        some = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y")
+        return rows.join(some.select("key"), "key", "left_semi")
+
+    def failed(edges: DataFrame, judged: DataFrame) -> DataFrame:
+        return edges.join(judged.filter("not good"), ["a", "b"], "left_semi").select(F.col("bucket").alias("key"), F.lit(True).alias("failed")).distinct()
+
+    taken = F.pmod("key", F.lit(share)) == 0
+    edges, found = judged(shared.filter(taken).withColumn("label", F.col("id")), True)
+    label = saved(components(found.filter("good").select("a", "b")))
+    if share > 1:
+        again = shared.join(failed(edges, found), "key", "left").filter(~taken | F.col("failed")).drop("failed")
+        edges, found = judged(mixed(again, label), True)
+        label = saved(joined_components(label, found.filter("good").select("a", "b")))
+    last = shared.join(failed(edges, found), "key", "left_semi")
+    _, rest = judged(mixed(last, label), False)
+    return joined_components(label, rest.filter("good").select("a", "b"))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .frames import only, saved
 from .linker import grouped
-from .textkit import BYTE_VALUE, chunks, mix, powers, signed
+from .textkit import BYTE_VALUE, chunks, mix, powers, signed, sliding_least
 
 LENGTH, K, SHALLOW = 100, 32, 32
 WINDOWS = LENGTH - K + 1  # anchors to choose from in a window
@@ -53,14 +53,6 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
-    size = 1
-    while 2 * size <= width:
-        x = np.minimum(x[:-size], x[size:])
-        size *= 2
-    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
-
-
 def runs(data: np.ndarray, offs: np.ndarray):
     """(first window, windows, offset of the anchor, anchor hash, digest) of each run in texts at offs."""
     n = len(data) - LENGTH + 1

@@ -1,7 +1,7 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 The functions here run inside Spark tasks. They look at whole texts as UTF-8 bytes and work on
-chunks of a few MB, so that the temporary arrays stay small whatever the size of an Arrow batch.
+chunks of half a MB, so that the temporary arrays stay small whatever the size of an Arrow batch.
 A null text counts as an empty one.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -130,10 +130,36 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct values of each run."""
-    parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
     out = np.zeros(len(first), np.int64)
-    np.cumsum([len(p) for p in parts], out=out[1:])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), out
+    if len(values) > 64 * len(first):
+        parts = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        np.cumsum([len(p) for p in parts], out=out[1:])
+        return np.concatenate(parts), out
+    run = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((values, run))
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (run[1:] != run[:-1])
+    np.cumsum(np.bincount(run[new], minlength=len(first) - 1), out=out[1:])
+    return values[new], out
+
+
+def taken(values: np.ndarray, first: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the runs, in the order given."""
+    size = np.diff(first)[runs]
+    out = np.zeros(len(runs) + 1, np.int64)
+    np.cumsum(size, out=out[1:])
+    at = np.repeat(first[:-1][runs] - out[:-1], size) + np.arange(out[-1])
+    return values[at], out
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
 def signed(x: np.ndarray) -> np.ndarray:

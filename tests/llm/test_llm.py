@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from riskloom.llm import chat, decontam, embed_dedup, jaccard_join, paragraph_dedup, pieces, queries, secret_scan, sharding, suffix_dedup, toxicity
+from riskloom.llm import chat, decontam, embed_dedup, jaccard_join, linker, paragraph_dedup, pieces, queries, secret_scan, sharding, suffix_dedup, toxicity
 from riskloom.llm.frames import components
+from riskloom.llm.textkit import mix, words
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string, removed int"
@@ -71,26 +72,113 @@ def test_jaccard_join_is_exact(spark, k, num, den):
     assert got == {i: (len(s[i]), want[i]) for i in range(len(s))}
 
 
+ROWS = "doc_id long, text string, id long, key string, same string, label string, members string"
+
+
+def test_jaccard_join_repeated_and_null_ids(spark):
+    a, b = "a b c d e f g h", "q y x w v u t s"
+    rows = [(1, a), (1, b), (2, a + " i"), (3, b + " z"), (None, "m n o p q r s t"), (5, "m n o p q r s t u"), (None, "lone words of no other text"), (7, ""), (7, ""), (8, None)]
+    df = spark.createDataFrame([(i, t, 1, "k", "s", "l", "m") for i, t in rows], ROWS)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 4, 7, 10).collect()), key=str)
+    assert got == sorted([(1, 5, 1), (1, 5, 1), (2, 6, 1), (3, 6, 1), (None, 5, 5), (5, 6, 5), (None, 3, None), (7, 0, 7), (7, 0, 7), (8, 0, 8)], key=str)
+
+
+def test_near_copies_below_the_bar_make_few_rows(spark, monkeypatch):
+    """600 texts, each pair at Jaccard of about 0.75 where 0.85 is asked for, and a bucket larger than a block."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(300)]
+    texts = []
+    for _ in range(600):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 5), 6):
+            w[at] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    monkeypatch.setattr(linker, "BLOCK", 128)
+    made, plain = [], linker.candidates
+    monkeypatch.setattr(linker, "candidates", lambda *a: made.append(plain(*a)) or made[-1])
+    s = list(sets(texts, 4))
+    links = [(i, j) for i in range(600) for j in range(i) if len(s[i] & s[j]) * 100 >= 85 * len(s[i] | s[j])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs(spark, texts), 4, 85, 100).collect()}
+    assert got == dict(enumerate(union(600, links)))
+    assert sum(x.count() for x in made) < 20 * 600
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5)]
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def cut_plainly(text, k=5, spread=paragraph_dedup.SPREAD):
+    """(start, end, words) of the passages of a text, word by word."""
+    data = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    w = words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    pair = [int(x) for x in mix(w.hash[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[1:])]
+    line = [data[:s].count(b"\n") for s, _ in found]
+    heads = []
+    for i in range(len(found)):
+        around = range(i - spread, i + spread + 2)
+        inside = around[0] >= 0 and around[-1] < len(found) and line[around[0]] == line[around[-1]]
+        least = inside and all(pair[i] < pair[j] for j in around[:spread]) and all(pair[i] <= pair[j] for j in around[spread + 1 : -1])
+        if i == 0 or line[i] != line[i - 1] or least:
+            heads.append(i)
+    ends = [*heads[1:], len(found)] if heads else []
+    return [(found[a][0], found[b][0] if b < len(found) else len(data), [data[s:e].lower() for s, e in found[a:b]]) for a, b in zip(heads, ends, strict=True)]
+
+
 def test_paragraph_dedup(spark):
     texts = corpus(5)
-    paragraphs = [(i, j, p) for i, t in enumerate(texts) if t is not None for j, p in enumerate(t.split("\n"))]
-    s = [next(sets([p], 5)) if len(re.findall(r"[^\x20\x09-\x0d]+", p)) >= 5 else frozenset() for *_, p in paragraphs]
-    links = [(a, b) for a in range(len(s)) for b in range(a) if s[a] and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b]) > 0]
-    want = defaultdict(list)
-    for at, top in enumerate(union(len(s), links)):
-        if at != top:
-            want[paragraphs[at][0]].append(paragraphs[at][1])
-    for r in paragraph_dedup.paragraph_dedup(docs(spark, texts)).collect():
-        assert sorted(r.removed) == want[r.doc_id]
-        t = texts[r.doc_id]
-        assert r.text == (None if t is None else "\n".join(p for j, p in enumerate(t.split("\n")) if j not in r.removed))
-        assert (r.n_paragraphs, r.n_removed) == (0 if t is None else len(t.split("\n")), len(r.removed))
+    rng = random.Random(15)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    passage, common = prose(60), prose(15)
+    texts += [prose(40) + " " + passage + " " + prose(30), prose(70) + " " + passage + "\n" + prose(9), common + " " + prose(50), prose(20) + " " + common + " " + prose(50), "is " * 200, "is " * 150]
+    cut = [cut_plainly(t or "") for t in texts]
+    shingled = lambda w: frozenset(zip(*[w[i:] for i in range(5)], strict=False)) if len(w) >= 5 else frozenset()
+    every = [(d, i, shingled(w)) for d, own in enumerate(cut) for i, (_, _, w) in enumerate(own)]
+    links, by = [], defaultdict(list)
+    for a, (_, _, s) in enumerate(every):
+        for g in s:
+            by[g].append(a)
+    for a, b in {(x, y) for own in by.values() for x in own for y in own if y < x}:
+        x, y = every[a][2], every[b][2]
+        if 5 * len(x & y) >= 4 * len(x | y):
+            links.append((a, b))
+    repeat = [defaultdict(bool) for _ in texts]
+    for at, top in enumerate(union(len(every), links)):
+        repeat[every[at][0]][every[at][1]] = at != top
+    got = {r.doc_id: r for r in paragraph_dedup.paragraph_dedup(docs(spark, texts)).collect()}
+    wrong = 0
+    for d, (text, own) in enumerate(zip(texts, cut, strict=True)):
+        marks = "".join("r" if repeat[d][i] else "s" if len(w) < 5 else "-" for i, (_, _, w) in enumerate(own))
+        spans = [(m.start(), m.end()) for m in re.finditer(r"r(?:[rs]*r)?", marks)]
+        spans = [(a, b) for a, b in spans if sum(len(w) for _, _, w in own[a:b]) >= paragraph_dedup.LEAST_WORDS]
+        data, left, at = (text or "").encode(), b"", 0
+        for a, b in spans:
+            left += data[at : own[a][0]]
+            at = own[b - 1][1]
+        left += data[at:]
+        want = (None if text is None else left.decode(), sum(b - a for a, b in spans))
+        wrong += (got[d].text, got[d].n_removed) != want  # a pair near the bar may share no band
+    assert wrong <= 2
+    n = len(texts)
+    assert got[n - 6].n_removed == 0 and got[n - 5].n_removed > 0 and len(got[n - 5].text) < len(texts[n - 5]) - 200
+    assert got[n - 4].n_removed == got[n - 3].n_removed == 0
+    assert paragraph_dedup.paragraph_dedup(docs(spark, [])).count() == 0
+
+
+def test_paragraph_dedup_repeated_rows_and_null_ids(spark):
+    rng = random.Random(16)
+    a, b = (" ".join(rng.choice(WORDS) for _ in range(50)) for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (2, b), (None, a), (3, "")]
+    df = spark.createDataFrame([(i, t, 1, "k", "s", "l", "m") for i, t in rows], ROWS)
+    got = Counter((r.doc_id, r.text == "") for r in paragraph_dedup.paragraph_dedup(df).collect())
+    assert got == {(1, True): 2, (1, False): 1, (2, True): 1, (None, False): 1, (3, True): 1}
+
+
+def test_bands_follow_the_bar():
+    assert (paragraph_dedup.band_count(4, 5), paragraph_dedup.least_set(4, 5)) == (4, 4)
+    assert paragraph_dedup.band_count(3, 5) == 9 and paragraph_dedup.least_set(3, 5) == 2
 
 
 def test_suffix_dedup(spark):
