@@ -51,8 +51,9 @@ def digit_fraction(text: Column) -> Column:
 def ngram_frequency_score(text: Column, n: int = 2) -> Column:
     """Distinct n-grams over all of them; 0 for a shorter text."""
     size = F.length(text) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(size > 0, F.size(F.array_distinct(grams)) / size).otherwise(0.0)
+    # the characters once, as an array: looking up the i-th of a string would read it from its start
+    distinct = lambda c: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), size), lambda i: F.array_join(F.slice(c, i, n), ""))))
+    return F.when(size > 0, F.transform(F.array(characters(text)), distinct)[0] / size).otherwise(0.0)
 
 
 def unique_char_ratio(text: Column) -> Column:

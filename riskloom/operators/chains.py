@@ -99,7 +99,7 @@ def rare_paths(nodes: DataFrame, edges: DataFrame, found: DataFrame, n_seeds: in
     )
     out = None
     for hop in range(1, most + 1):
-        grown = F.broadcast(paths).join(steps, "at").filter(~F.array_contains("path", F.col("dst")))
+        grown = paths.join(steps, "at").filter(~F.array_contains("path", F.col("dst")))
         link = F.struct(F.col("at").alias("src"), "dst", "edge_type", "event_count")
         paths = grown.select(
             "seed", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("links", F.array(link)).alias("links"),
@@ -207,6 +207,8 @@ def lateral(nodes: DataFrame, edges: DataFrame, top: int = 50, least: float = 0.
     first = e.filter("edge_type = 'auth'").select(*[F.col(c).alias(f"a_{c}") for c in ("src", "dst", "edge_type", "event_count", "first_seen", "last_seen", "src_risk", "dst_risk")])
     second = e.filter("edge_type in ('network', 'dns')").select(*[F.col(c).alias(f"b_{c}") for c in ("src", "dst", "edge_type", "event_count", "first_seen", "last_seen", "dst_risk")])
     first = first.filter(is_internal_ip(F.col("a_dst")) & (F.col("a_src") != F.col("a_dst")))
+    second = second.filter("b_dst <> b_src")
+    first, second = of_pivots(first, second, top, least)
     rows = first.join(second, first["a_dst"] == second["b_src"]).filter("b_dst <> a_src and b_dst <> b_src")
     risk = F.greatest("a_src_risk", "a_dst_risk", "b_dst_risk")
     odd = at_night(F.col("a_first_seen")) | (risk > 0.5) | (F.col("a_event_count") > 50) | (F.col("b_event_count") > 50)
@@ -219,6 +221,28 @@ def lateral(nodes: DataFrame, edges: DataFrame, top: int = 50, least: float = 0.
     )
 
 
+def of_pivots(first: DataFrame, second: DataFrame, top: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The logins and the edges on that can be in the `top` rows of lateral(), so that no pivot joins all with all.
+
+    A row's order is risk, then names. Of a pivot's edges on only the `top` + 1 best by (risk, b_dst, b_edge_type) can be in
+    the first rows of a login: one of them may lead back to it. The same holds for logins, but whether one is kept at all
+    may hang on the night, or on either count. So each is ranked among those with the same standing in these.
+    """
+    night, busy = at_night(F.col("a_first_seen")), F.col("a_event_count") > 50
+    a = Window.partitionBy("a_dst", night, busy).orderBy(F.desc(F.greatest("a_src_risk", "a_dst_risk")), "a_src")
+    b = Window.partitionBy("b_src", F.col("b_event_count") > 50).orderBy(F.desc("b_dst_risk"), "b_dst", "b_edge_type")
+    low = F.col("b_low")
+    second = second.withColumn("b_rank", F.row_number().over(b))
+    # an edge on that is less risky than the login counts by name alone
+    by_name = Window.partitionBy("b_src", F.col("b_event_count") > 50).orderBy("b_dst", "b_edge_type")
+    second = second.withColumn("b_low", F.row_number().over(by_name))
+    second = second.filter((F.col("b_rank") <= 3 * top) | (low <= 3 * top))
+    by_source = Window.partitionBy("a_dst", night, busy).orderBy("a_src")
+    first = first.withColumn("a_rank", F.row_number().over(a)).withColumn("a_low", F.row_number().over(by_source))
+    first = first.filter((F.col("a_rank") <= top + 1) | (F.col("a_low") <= top + 1))
+    return first.drop("a_rank", "a_low"), second.drop("b_rank", "b_low")
+
+
 def entities_of(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(c, lambda n: n["entity"])))
 
@@ -226,13 +250,14 @@ def entities_of(c: Column) -> Column:
 def deduplicated(chains: DataFrame) -> DataFrame:
     """Of chains over the same entities the riskiest, then without those whose entities another chain has with more.
 
-    Containment is looked for among chains that share their first entity by name, not between all pairs.
+    Containment is looked for among chains that share the entity that fewest chains have, not between all pairs.
     """
     each = chains.withColumn("who", entities_of(F.col("nodes")))
     order = Window.partitionBy("who").orderBy(F.desc("total_risk_score"), "chain_id")
     each = saved(each.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
     larger = each.select(F.col("who").alias("all"), F.explode("who").alias("one"))
-    mine = each.select("who", F.element_at("who", 1).alias("one"))
+    often = larger.groupBy("one").agg(F.count("*").alias("n"))
+    mine = each.select("who", F.explode("who").alias("one")).join(often, "one").groupBy("who").agg(F.min(F.struct("n", "one"))["one"].alias("one"))
     inside = mine.join(larger, "one").filter((F.size("all") > F.size("who")) & (F.size(F.array_except("who", "all")) == 0)).select("who").distinct()
     return each.join(inside, "who", "left_anti").drop("who")
 
@@ -266,16 +291,28 @@ def mine(nodes: DataFrame, edges: DataFrame, cut: float = 0.65, found: DataFrame
     return enrich(deduplicated(union_all(parts)))
 
 
-def sequences(logs: DataFrame, support: float = 0.02, length: int = 4, rare: float = 1.0, ips: int = 2) -> DataFrame:
-    """Frequent sequences of (event_type, target) over hosts: sequence, freq, share; at least `ips` targets, share below `rare`."""
-    from pyspark.ml.fpm import PrefixSpan
+def sequences(logs: DataFrame, least: int = 2, length: int = 8, ahead: int = 3, rare: float = 0.01, ips: int = 2) -> DataFrame:
+    """Rare sequences of (event_type, target): sequence, freq (hosts that have it), share (of all hosts).
 
+    A sequence of a host goes on with any of the next `ahead` events. Kept are those of at most `length`
+    items that `least` hosts or more have, fewer than the share `rare` of all hosts, with `ips` targets or
+    more. Grown an item at a time; a sequence that too few hosts have has no longer ones.
+    """
     item = F.concat_ws("|", "event_type", "dst_ip")
-    rows = logs.filter("src_ip <> '' and dst_ip <> ''").groupBy("src_ip").agg(F.array_sort(F.collect_list(F.struct("ts_ms", item.alias("item")))).alias("s"))
-    rows = rows.select(F.transform("s", lambda x: F.array(x["item"])).alias("sequence"))
-    hosts = rows.count()
-    found = PrefixSpan(minSupport=support, maxPatternLength=length).findFrequentSequentialPatterns(rows)
-    flat = F.flatten("sequence")
-    targets = F.size(F.array_distinct(F.transform(flat, lambda x: F.substring_index(x, "|", -1))))
-    out = found.filter(targets >= ips).select(flat.alias("sequence"), "freq", (F.col("freq") / F.lit(max(hosts, 1))).alias("share"))
-    return out.filter((F.col("share") < rare) & (F.col("freq") >= 2))
+    order = Window.partitionBy("src_ip").orderBy("ts_ms", *[c for c in ("event_id",) if c in logs.columns], item)
+    rows = logs.filter("src_ip <> '' and dst_ip <> ''").select("src_ip", item.alias("item"), F.row_number().over(order).alias("at"))
+    rows = saved(rows)
+    grown, out = rows.select("src_ip", F.array("item").alias("sequence"), "at"), None
+    for n in range(1, length + 1):
+        if n > 1:
+            after = grown.select("src_ip", "sequence", F.explode(F.sequence(F.col("at") + 1, F.col("at") + ahead)).alias("at"))
+            grown = after.join(rows, ["src_ip", "at"]).select("src_ip", F.concat("sequence", F.array("item")).alias("sequence"), "at").distinct()
+        found = saved(grown.select("src_ip", "sequence").distinct().groupBy("sequence").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least))
+        out = found if out is None else out.unionByName(found)
+        if found.isEmpty():
+            break
+        grown = saved(grown.join(found.select("sequence"), "sequence", "left_semi"))
+    hosts = rows.agg(F.count_distinct("src_ip").alias("hosts"))
+    targets = F.size(F.array_distinct(F.transform("sequence", lambda x: F.substring_index(x, "|", -1))))
+    out = out.filter(targets >= ips).join(F.broadcast(hosts)).select("sequence", "freq", (F.col("freq") / F.col("hosts")).alias("share"))
+    return out.filter(F.col("share") < rare)

@@ -112,9 +112,9 @@ def trace_path(edges: DataFrame, source: str, target: str, most: int = 5) -> Dat
 
 def degrees(edges: DataFrame) -> DataFrame:
     """id, out_degree, in_degree, degree (edges of every type count), out_neighbors, ports (distinct, out)."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(
-        F.count("*").alias("out_degree"), F.count_distinct("dst").alias("out_neighbors"), F.size(F.array_distinct(F.flatten(F.collect_set("ports")))).alias("ports")
-    )
+    ports = edges.select(F.col("src").alias("id"), F.explode("ports").alias("p")).distinct().groupBy("id").agg(F.count("*").cast("int").alias("ports"))
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"), F.count_distinct("dst").alias("out_neighbors"))
+    out = out.join(ports, "id", "left").fillna(0, ["ports"])
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     both = out.join(into, "id", "full").fillna(0)
     return both.withColumn("degree", F.col("out_degree") + F.col("in_degree"))

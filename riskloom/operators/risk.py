@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.net import entity_type
+from .graph import neighborhood
 
 PROFILE = (
     "entity_id string, entity_type string, score double, baseline_score double, last_updated bigint, "
@@ -132,8 +133,48 @@ def drift(scores: DataFrame, high: float = 0.5, share: float = 0.30) -> DataFram
 
 
 def chains_page(chains: DataFrame, least: float = 0.7, kind: str | None = None, n: int = 50) -> DataFrame:
+    """The riskiest chains of a type; of equal ones the first by their entities."""
     out = chains.filter(F.col("total_risk_score") >= least)
-    return top(out.filter(F.col("chain_type") == kind) if kind else out, min(n, 200), "total_risk_score", "chain_id")
+    out = out.filter(F.col("chain_type") == kind) if kind else out
+    return out.orderBy(F.desc("total_risk_score"), "affected_assets", "chain_id").limit(min(n, 200))
+
+
+def chain_by_id(chains: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chains whose chain_id is in ids (chain_id)."""
+    return chains.join(ids.select("chain_id"), "chain_id", "left_semi")
+
+
+def profile(profiles: DataFrame, edges: DataFrame, entity: str, depth: int = 1) -> DataFrame:
+    """The entity's row with neighbors: how many others links reach within depth; none if it is unknown."""
+    start = profiles.sparkSession.range(1).select(F.lit(entity).alias("id"))
+    n = neighborhood(edges, start, depth).filter("hops > 0").agg(F.count("*").alias("neighbors"))
+    return profiles.filter(F.col("entity_id") == entity).join(F.broadcast(n))
+
+
+def entities_page(profiles: DataFrame, kind: str | None = None, least: float = 0.0, n: int = 50) -> DataFrame:
+    """The riskiest entities of a type, each with total: how many there are."""
+    found = profiles.filter(F.col("score") >= least)
+    found = found.filter(F.col("entity_type") == kind) if kind else found
+    return top(found.join(F.broadcast(found.agg(F.count("*").alias("total")))), min(n, 200), "score", "entity_id")
+
+
+def counters(logs: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row: events and chains."""
+    return logs.agg(F.count("*").alias("events")).join(chains.agg(F.count("*").alias("chains")))
+
+
+def chains_of(profiles: DataFrame, chains: DataFrame) -> DataFrame:
+    """(entity_id, and the columns of chains): an entity's chains; without a row where it has none."""
+    each = profiles.select("entity_id", F.explode("associated_chains").alias("chain_id"))
+    return each.join(chains, "chain_id")
+
+
+def severity_counts(chains: DataFrame, critical: float = 0.9, high: float = 0.7) -> DataFrame:
+    """One row: chains, critical (by risk), high (below critical), and how many types there are."""
+    r = F.col("total_risk_score")
+    return chains.agg(
+        F.count("*").alias("chains"), F.count_if(r >= critical).alias("critical"), F.count_if((r >= high) & (r < critical)).alias("high"), F.count_distinct("chain_type").alias("types")
+    )
 
 
 def search(profiles: DataFrame, text: str, least: float = 0.0) -> DataFrame:

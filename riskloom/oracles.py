@@ -73,8 +73,9 @@ sql(
 )
 
 sql("baseline_counts", select=" SELECT ip, count(*) AS n FROM (SELECT src_ip AS ip FROM netlog UNION ALL SELECT dst_ip FROM netlog) GROUP BY ip")
-KNOWN = "known AS (SELECT ip, count(*) AS n FROM (SELECT src_ip AS ip FROM netlog WHERE event_id % 10 = 0 UNION ALL SELECT dst_ip FROM netlog WHERE event_id % 10 = 0) GROUP BY ip)"
-sql("baseline_novelty", KNOWN, select=f" SELECT src_ip, event_type, {num('avg(CASE WHEN coalesce(n, 0) < 5 THEN 1.0 ELSE 0.0 END)', 'rare_ip_fraction')}, {num('avg(CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END)', 'new_ip_fraction')} FROM (SELECT DISTINCT src_ip, event_type, dst_ip FROM netlog) t LEFT JOIN known ON dst_ip = ip GROUP BY 1, 2")
+KNOWN = "known AS (SELECT ip, count(*) AS n FROM (SELECT src_ip AS ip FROM early UNION ALL SELECT dst_ip FROM early) GROUP BY ip)"
+EARLY = "early AS (SELECT src_ip, dst_ip FROM netlog, (SELECT min(ts_ms) AS low, max(ts_ms) AS high FROM netlog) WHERE ts_ms < low + (high - low) / 10)"
+sql("baseline_novelty", EARLY, KNOWN, select=f" SELECT src_ip, event_type, {num('avg(CASE WHEN coalesce(n, 0) < 5 THEN 1.0 ELSE 0.0 END)', 'rare_ip_fraction')}, {num('avg(CASE WHEN n IS NULL THEN 1.0 ELSE 0.0 END)', 'new_ip_fraction')} FROM (SELECT DISTINCT src_ip, event_type, dst_ip FROM netlog) t LEFT JOIN known ON dst_ip = ip GROUP BY 1, 2")
 
 BODY = "regexp_replace(domain, '\\.[^.]*$', '')"
 CV = f"(CASE WHEN length(regexp_replace(lower({BODY}), '[^aeiou]', '', 'g')) > 0 THEN length(regexp_replace(lower({BODY}), '[^a-z]|[aeiou]', '', 'g')) / length(regexp_replace(lower({BODY}), '[^aeiou]', '', 'g')) WHEN length(regexp_replace(lower({BODY}), '[^a-z]|[aeiou]', '', 'g')) > 0 THEN 1e9 ELSE 0 END)"
@@ -113,7 +114,16 @@ sql(
     + f", {num('std_iat / greatest(mean_iat, 1e-6)', 'burstiness', 5)}, CAST(1.0 AS DOUBLE) AS rare_ip_fraction, CAST(1.0 AS DOUBLE) AS new_ip_fraction, CAST(0.0 AS DOUBLE) AS geo_diversity, CAST(0.0 AS DOUBLE) AS mean_dns_ttl"
     + " FROM vol JOIN agg USING (src_ip, event_type) JOIN timing USING (src_ip, event_type) LEFT JOIN iat USING (src_ip, event_type) LEFT JOIN ipe USING (src_ip, event_type) LEFT JOIN pe USING (src_ip, event_type)",
 )
-sql("windowed_volume", select=f" SELECT src_ip, epoch_ms(date_trunc('day', timestamp)) AS start_ms, {num('count(*)', 'event_count')}, {num('sum(bytes_out)', 'bytes_out_total')}, {num('count(DISTINCT dst_ip)', 'unique_dst_ips')}, CAST(1.0 AS DOUBLE) AS waf_alert_density, {num('max(severity)', 'max_waf_severity')} FROM netlog WHERE event_type = 'waf_alert' GROUP BY src_ip, date_trunc('day', timestamp)")
+sql(
+    "windowed_volume",
+    select=" SELECT src_ip, event_type, epoch_ms(date_trunc('day', timestamp)) AS start_ms, "
+    + ", ".join(num(x, n) for n, x in {
+        "event_count": "count(*)", "events_per_sec": "count(*) / 86400.0", "bytes_out_total": "sum(bytes_out)", "bytes_in_total": "sum(bytes_in)", "unique_dst_ips": "count(DISTINCT dst_ip)",
+        "unique_dst_ports": "count(DISTINCT dst_port)", "unique_domains": "count(DISTINCT domain)", "waf_alert_density": "CASE WHEN event_type = 'waf_alert' THEN 1 ELSE 0 END",
+        "unique_waf_rules": "count(DISTINCT waf_rule_id) FILTER (event_type = 'waf_alert')", "max_waf_severity": "coalesce(max(severity) FILTER (event_type = 'waf_alert'), 0)",
+    }.items())
+    + " FROM netlog GROUP BY src_ip, event_type, date_trunc('day', timestamp)",
+)
 
 NODES = """ent AS (
   SELECT DISTINCT event_id, ts_ms, id, kind FROM (
@@ -140,8 +150,8 @@ sql(
     "h2 AS (SELECT DISTINCT dst AS id FROM p WHERE src IN (SELECT id FROM h1) AND dst NOT IN (SELECT id FROM h0) AND dst NOT IN (SELECT id FROM h1))",
     select=" SELECT id, 0 AS hops FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2",
 )
-ORACLE_SQL["graph_trace_path"] = f"""WITH RECURSIVE {NETLOG_SQL}, {EDGES}, pairs AS (SELECT DISTINCT src, dst FROM edges WHERE event_count >= 2),
-walk AS (SELECT '10.1.0.3' AS cur, ['10.1.0.3'] AS path UNION ALL SELECT * FROM (SELECT dst AS cur, min(list_append(path, dst)) AS path FROM walk JOIN pairs ON cur = src WHERE NOT list_contains(path, dst) AND len(path) <= 4 AND cur <> '203.0.113.88' GROUP BY dst)),
+ORACLE_SQL["graph_trace_path"] = f"""WITH RECURSIVE {NETLOG_SQL}, {EDGES}, pairs AS (SELECT DISTINCT src, dst FROM edges ),
+walk AS (SELECT '10.1.0.3' AS cur, ['10.1.0.3'] AS path UNION ALL SELECT * FROM (SELECT dst AS cur, min(list_append(path, dst)) AS path FROM walk JOIN pairs ON cur = src WHERE NOT list_contains(path, dst) AND len(path) <= 5 AND cur <> '203.0.113.88' GROUP BY dst)),
 best AS (SELECT path FROM walk WHERE cur = '203.0.113.88' ORDER BY len(path), path LIMIT 1)
 SELECT CAST(i - 1 AS INTEGER) AS hop, path[i] AS node FROM best, range(1, 7) r(i) WHERE i <= len(path)"""
 RAR = "rar AS (SELECT src_ip AS src, dst_ip AS dst, event_type, count(*) AS n FROM netlog GROUP BY ALL)"
@@ -154,7 +164,7 @@ SEEDS = """seeds AS (
 RISKS = "er AS (SELECT e.*, a.risk_score AS sr, b.risk_score AS dr FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id)"
 sql("chain_seeds", NODES, EDGES, DEG, SEEDS, select=f" SELECT id, {num('risk_score', 'risk_score')} FROM seeds")
 sql(
-    "chain_outbound", NODES, EDGES, DEG, SEEDS, RISKS, "best AS (SELECT id, risk_score FROM seeds ORDER BY risk_score DESC, id LIMIT 10)",
+    "chain_outbound", NODES, EDGES, DEG, SEEDS, RISKS, "best AS (SELECT id, risk_score FROM seeds ORDER BY risk_score DESC, id LIMIT 50)",
     select=f" SELECT CASE WHEN odd THEN 'data_exfil' ELSE 'c2_beacon' END AS chain_type, src || ':source,' || dst || ':target' AS nodes, src || '>' || edge_type || '>' || dst AS edges, {num('greatest(sr, 0.5)', 'total_risk_score')}, first_seen, last_seen, src || ',' || dst AS affected_assets FROM er WHERE edge_type IN ('network', 'dns') AND {internal('src')} AND NOT {internal('dst')} AND src IN (SELECT id FROM best WHERE risk_score >= 0.6)",
 )
 sql(
@@ -177,7 +187,7 @@ HOP = """h{n} AS (
   QUALIFY row_number() OVER (PARTITION BY seed, cur ORDER BY rarity DESC, path, types) = 1)"""
 sql(
     "chain_rare_paths", NODES, EDGES, DEG, SEEDS, RISKS,
-    "h0 AS (SELECT id AS seed, id AS cur, [id] AS path, CAST([] AS VARCHAR[]) AS types, [risk_score] AS risks, CAST(0.0 AS DOUBLE) AS rarity FROM seeds ORDER BY risk_score DESC, id LIMIT 5)",
+    "h0 AS (SELECT id AS seed, id AS cur, [id] AS path, CAST([] AS VARCHAR[]) AS types, [risk_score] AS risks, CAST(0.0 AS DOUBLE) AS rarity FROM seeds ORDER BY risk_score DESC, id LIMIT 40)",
     HOP.format(n=1, m=0), HOP.format(n=2, m=1), HOP.format(n=3, m=2),
     "sc AS (SELECT seed, path, rarity, round(0.7 * least(rarity / k / 8, 1.0) + 0.3 * list_sum(risks) / len(risks), 9) AS score, list_max(risks) AS max_risk FROM (SELECT *, 2 AS k FROM h2 UNION ALL SELECT *, 3 FROM h3))",
     "pl AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, path) AS place FROM sc WHERE score >= 0.30 AND max_risk >= 0.5)",
@@ -196,7 +206,7 @@ sql("dga_domain_features", DOM, FEAT, select=" SELECT domain, " + ", ".join(num(
 sql("dga_domain_scores", DOM, FEAT, select=f" SELECT domain, {num(POINTS, 'score')}, {POINTS} > 0.7 AS is_dga FROM feat")
 sql("dga_host_ratio", DOM, FEAT, select=f" SELECT src_ip, count(*) FILTER ({POINTS} >= 0.3) AS dga_count, count(*) AS total, {num(f'count(*) FILTER ({POINTS} >= 0.3) / count(*)', 'ratio')} FROM (SELECT DISTINCT src_ip, domain FROM netlog WHERE domain IS NOT NULL) JOIN feat USING (domain) GROUP BY src_ip")
 
-ORACLE_SQL["text_statistics"] = f"""WITH t AS (SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9 ]', '', 'g') AS t FROM documents)
+ORACLE_SQL["text_statistics"] = f"""WITH t AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g') AS t FROM documents)
 SELECT doc_id, {num("CASE WHEN length(t) = 0 THEN 0.0 ELSE " + entropy("t") + " END", 'entropy')}, {num("CASE WHEN length(t) = 0 THEN 0.0 ELSE length(regexp_replace(t, '[^0-9]', '', 'g')) / length(t) END", 'digits')},
   CAST(coalesce(list_max(list_transform(string_split(regexp_replace(t, '[^b-df-hj-np-tv-z]', '-', 'g'), '-'), lambda x: length(x))), 0) AS INTEGER) AS run,
   {num("CASE WHEN length(t) < 2 THEN 0.0 ELSE len(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) / (length(t) - 1) END", 'bigrams')},
@@ -221,8 +231,7 @@ sql("risk_point_lookup", OLD, select=f" SELECT '10.1.0.8' AS entity_id, {num('co
 sql("risk_top_profiles", OLD, select=f" SELECT entity_id, {num('score', 'score')} FROM prof ORDER BY prof.score DESC, entity_id LIMIT 20")
 sql("risk_search", OLD, select=f" SELECT entity_id, {num('score', 'score')} FROM prof WHERE contains(entity_id, '.1.0.1') AND prof.score >= 0.3")
 sql("entity_timeline", select=" SELECT src_ip AS entity_id, ts_ms, event_type, event_type || ' to ' || dst_ip AS description FROM netlog WHERE src_ip = '10.1.0.8' ORDER BY ts_ms DESC, event_type, description LIMIT 50")
-sql("chains_api_page", NODES, EDGES, RISKS, LATERAL, select=f" SELECT {LATERAL_OUT} FROM two WHERE risk >= 0.7 ORDER BY risk DESC LIMIT 20")
-del ORACLE_SQL["chains_api_page"]  # which of equal risks come first hangs on a hash of the chain
+sql("chains_api_page", NODES, EDGES, RISKS, LATERAL, select=f" SELECT {LATERAL_OUT} FROM two WHERE risk >= 0.7 ORDER BY risk DESC, s, p, t, bt LIMIT 20")
 sql("chain_narratives", NODES, EDGES, RISKS, LATERAL, select=" SELECT s || ' started, then ' || p || ' was used to move on, then ' || t || ' was reached.' AS story, 'Reset the credentials used and review access of the pivot host' AS action FROM (SELECT * FROM two ORDER BY risk DESC, s, p, t, bt LIMIT 20)")
 sql(
     "intel_matches", "feed AS (SELECT DISTINCT 'ip' AS kind, dst_ip AS value FROM netlog WHERE event_id % 97 = 0 UNION SELECT 'domain', domain FROM netlog WHERE event_id % 89 = 0 AND domain IS NOT NULL)",
@@ -243,6 +252,43 @@ sql(
 )
 
 
+# sequences: level by level, as the operator grows them
+LEVELS = [
+    "ev AS (SELECT src_ip, event_type || '|' || dst_ip AS item, row_number() OVER (PARTITION BY src_ip ORDER BY ts_ms, event_id, event_type || '|' || dst_ip) AS pos FROM netlog)",
+    "g1 AS (SELECT src_ip, [item] AS s, pos FROM ev)",
+]
+for k in range(1, 9):
+    if k > 1:
+        LEVELS.append(f"g{k} AS (SELECT DISTINCT g.src_ip, list_append(g.s, e.item) AS s, e.pos FROM g{k - 1} g JOIN f{k - 1} f ON f.s = g.s JOIN ev e ON e.src_ip = g.src_ip AND e.pos BETWEEN g.pos + 1 AND g.pos + 3)")
+    LEVELS.append(f"f{k} AS MATERIALIZED (SELECT s, count(DISTINCT src_ip) AS freq FROM g{k} GROUP BY s HAVING count(DISTINCT src_ip) >= 2)")
+for name, bound in (("sequence_patterns", "freq < 0.01 * hosts"), ("sequence_support", "freq < 1.1 * hosts")):
+    sql(
+        name, *LEVELS, "f AS (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, 9)) + ")", "h AS (SELECT count(DISTINCT src_ip) AS hosts FROM netlog)",
+        select=f" SELECT array_to_string(s, ',') AS sequence, freq, {num('freq / hosts', 'share')} FROM f, h WHERE {bound} AND len(list_distinct(list_transform(s, lambda x: split_part(x, '|', 2)))) >= 2",
+    )
+sql("chain_by_id", NODES, EDGES, RISKS, LATERAL, select=f" SELECT {LATERAL_OUT} FROM (SELECT * FROM two ORDER BY risk DESC, s, p, t, bt LIMIT 1)")
+sql("entity_profile", EDGES, OLD, select=f" SELECT entity_id, 'ip' AS entity_type, {num('score', 'score')}, evidence AS evidence_count, (SELECT count(*) FROM (SELECT dst AS o FROM edges WHERE src = '10.1.0.8' UNION SELECT src FROM edges WHERE dst = '10.1.0.8') WHERE o <> '10.1.0.8') AS neighbors FROM prof WHERE entity_id = '10.1.0.8'")
+sql("entities_page", OLD, select=f" SELECT entity_id, 'ip' AS entity_type, {num('score', 'score')}, count(*) OVER () AS total FROM prof WHERE prof.score >= 0.3 ORDER BY prof.score DESC, entity_id LIMIT 20")
+sql("service_counters", NODES, EDGES, RISKS, SCANS, select=" SELECT (SELECT count(*) FROM netlog) AS events, (SELECT count(*) FROM scan) AS chains")
+sql("chains_of_entities", NODES, EDGES, RISKS, SCANS, select=f" SELECT src AS entity_id, 'recon_scan' AS chain_type, {num('risk', 'total_risk_score')} FROM scan")
+sql("report_summary", NODES, EDGES, RISKS, SCANS, select=" SELECT count(*) AS chains, count(*) FILTER (risk >= 0.9) AS critical, count(*) FILTER (risk >= 0.7 AND risk < 0.9) AS high, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS types FROM scan")
+ORACLE_SQL["injected_records"] = "SELECT * FROM (VALUES ('c2_beacon', 72), ('lateral_movement', 4), ('data_exfil', 50), ('dga_activity', 200), ('recon_scan', 500)) v(attack, n)"
+# density: quartile cells of neighbouring features
+NAMES = "event_count events_per_sec unique_dst_ips unique_dst_ports unique_domains bytes_out_total bytes_in_total byte_ratio".split()
+PAIRS = " UNION ALL ".join(f"SELECT src_ip, event_type, {i} AS pair, {a} AS a, {b} AS b FROM cells" for i, (a, b) in enumerate(zip(NAMES, NAMES[1:] + NAMES[:1], strict=True)))
+sql(
+    "density_scores", VOLUME_CTE, TAILS_CTE, "cells AS (PIVOT (SELECT src_ip, event_type, feature, least(3, floor(p * 4)) AS cell FROM tails) ON feature IN (" + ", ".join(f"'{n}'" for n in NAMES) + ") USING first(cell) GROUP BY src_ip, event_type)",
+    f"dp AS ({PAIRS})", "dc AS (SELECT *, count(*) OVER (PARTITION BY pair, a, b) / count(*) OVER (PARTITION BY pair) AS share FROM dp)", "dr AS (SELECT src_ip, event_type, 1 - avg(share) AS raw FROM dc GROUP BY 1, 2)",
+    "de AS (SELECT quantile_cont(raw, 0.01) AS lo, quantile_cont(raw, 0.99) AS hi FROM dr)",
+    select=f" SELECT src_ip, event_type, {num('CASE WHEN hi - lo < 1e-10 THEN 0.0 ELSE least(1.0, greatest(0.0, (raw - lo) / (hi - lo))) END', 'score')} FROM dr, de",
+)
+sql(
+    "daily_report", NODES, EDGES, RISKS, SCANS, OLD,
+    "pts AS (SELECT entity_id, evidence AS e, 0 AS c FROM prof UNION ALL SELECT dst_ip, 1, 0 FROM netlog WHERE event_id % 2 = 1 GROUP BY dst_ip UNION ALL SELECT src, 0, 1 FROM scan)", "pf AS (SELECT entity_id, sum(e) AS e, sum(c) AS c FROM pts GROUP BY 1)",
+    select=" SELECT '2024-01-01' AS date, (SELECT count(*) FROM netlog) AS events, count(*) AS entities, (SELECT count(*) FROM scan) AS chains, CAST(sum(e) AS BIGINT) AS total_evidence, CAST(least(20, count(*)) AS INTEGER) AS n_entities, CAST((SELECT least(10, count(*)) FROM scan) AS INTEGER) AS n_chains, CAST((SELECT least(5, count(*)) FROM scan) + least(5, count(*) FILTER (c = 0)) AS INTEGER) AS n_recommendations FROM pf",
+)
+
+
 def uuid(line: str) -> str:
     return f"regexp_replace(substr(sha256({line}), 1, 32), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\\1-\\2-\\3-\\4-\\5') AS event_id"
 

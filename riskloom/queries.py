@@ -75,14 +75,16 @@ def baseline_counts(spark, d):
 @query
 def baseline_novelty(spark, d):
     logs = netlog(spark, d)
-    known = features.baseline(logs.filter("event_id % 10 = 0"))
-    return rounded(features.novelty(features.entities(logs), known, features.KEYS))
+    span = logs.agg(F.min("ts_ms").alias("low"), F.max("ts_ms").alias("high"))
+    first = logs.join(F.broadcast(span)).filter("ts_ms < low + (high - low) / 10").drop("low", "high")  # a baseline comes before what it is held against
+    return rounded(features.novelty(features.entities(logs), features.baseline(first), features.KEYS))
 
 
 @query
 def windowed_volume(spark, d):
-    w = features.windowed_features(netlog(spark, d).filter("event_type = 'waf_alert'"), "1 day", 86400.0)
-    return rounded(w.select("src_ip", F.unix_millis("window_start").alias("start_ms"), "event_count", "bytes_out_total", "unique_dst_ips", "waf_alert_density", "max_waf_severity"))
+    w = features.windowed_features(netlog(spark, d), "1 day", 86400.0)
+    volume = ["event_count", "events_per_sec", "bytes_out_total", "bytes_in_total", "unique_dst_ips", "unique_dst_ports", "unique_domains", "waf_alert_density", "unique_waf_rules", "max_waf_severity"]
+    return rounded(w.select("src_ip", "event_type", F.unix_millis("window_start").alias("start_ms"), *volume))
 
 
 @query
@@ -127,7 +129,7 @@ def isolation_forest_scores(spark, d):
 
 @query
 def density_scores(spark, d):
-    return detectors.density(features.entity_features(netlog(spark, d)), features.KEYS, VOLUME)
+    return rounded(detectors.density(features.entity_features(netlog(spark, d)), features.KEYS, VOLUME))
 
 
 @query
@@ -199,8 +201,7 @@ def graph_neighborhood(spark, d):
 
 @query
 def graph_trace_path(spark, d):
-    edges = graph.build_edges(netlog(spark, d)).filter("event_count >= 2")
-    return graph.trace_path(edges, "10.1.0.3", "203.0.113.88", 4)
+    return graph.trace_path(graph.build_edges(netlog(spark, d)), "10.1.0.3", "203.0.113.88", 5)
 
 
 @query
@@ -227,7 +228,7 @@ def chain_seeds(spark, d):
 @query
 def chain_outbound(spark, d):
     nodes, edges = scored_graph(spark, d)
-    return flat_chains(chains.outbound(nodes, edges, chains.seeds(nodes, edges, 0.8, 0.3), 10, 0.6))
+    return flat_chains(chains.outbound(nodes, edges, chains.seeds(nodes, edges, 0.8, 0.3), 50, 0.6))
 
 
 @query
@@ -251,7 +252,7 @@ def chain_lateral(spark, d):
 @query
 def chain_rare_paths(spark, d):
     nodes, edges = scored_graph(spark, d)
-    p = chains.rare_paths(nodes, edges, chains.seeds(nodes, edges, 0.8, 0.3), n_seeds=5, cut=0.30, risk_cut=0.5, per_seed=10)
+    p = chains.rare_paths(nodes, edges, chains.seeds(nodes, edges, 0.8, 0.3), n_seeds=40, cut=0.30, risk_cut=0.5, per_seed=10)
     return rounded(p.select("seed", F.array_join("path", ",").alias("path"), "rarity", "score", "max_risk", "place"))
 
 
@@ -269,7 +270,12 @@ def chain_type_counts(spark, d):
 
 @query
 def sequence_patterns(spark, d):
-    return chains.sequences(netlog(spark, d), support=0.2, length=2, rare=1.1, ips=2).select(joined("sequence"), "freq", "share")
+    return rounded(chains.sequences(netlog(spark, d)).select(joined("sequence"), "freq", "share"))
+
+
+@query
+def sequence_support(spark, d):
+    return rounded(chains.sequences(netlog(spark, d), rare=1.1).select(joined("sequence"), "freq", "share"))
 
 
 @query
@@ -297,9 +303,8 @@ def dga_forest_scores(spark, d):
 
 @query
 def text_statistics(spark, d):
-    t = F.substr(F.col("text"), F.lit(1), F.lit(200))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lower(t).alias("t"))
-    t = F.regexp_replace("t", "[^a-z0-9 ]", "")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.regexp_replace(F.lower("text"), "[^a-z0-9 ]", "").alias("t"))
+    t = F.col("t")
     return rounded(docs.select("doc_id", text.shannon_entropy(t).alias("entropy"), text.digit_fraction(t).alias("digits"), text.max_consonant_run(t).alias("run"), text.ngram_frequency_score(t).alias("bigrams"), text.unique_char_ratio(t).alias("unique_chars")))
 
 
@@ -398,6 +403,46 @@ def chains_api_page(spark, d):
     return flat_chains(risk.chains_page(chains.lateral(nodes, edges, 50, 0.9), 0.7, "lateral_movement", 20))
 
 
+@query
+def chain_by_id(spark, d):
+    nodes, edges = scored_graph(spark, d)
+    found = chains.lateral(nodes, edges, 50, 0.9)
+    one = risk.top(found, 1, "total_risk_score", "affected_assets").select("chain_id")
+    return flat_chains(risk.chain_by_id(found, one))
+
+
+@query
+def entity_profile(spark, d):
+    logs = netlog(spark, d)
+    profiles = profile_parts(spark, d)[0].select("entity_id", "entity_type", "score", "evidence_count")
+    return rounded(risk.profile(profiles, graph.build_edges(logs), "10.1.0.8", 1).select("entity_id", "entity_type", "score", "evidence_count", "neighbors"))
+
+
+@query
+def entities_page(spark, d):
+    return rounded(risk.entities_page(profile_parts(spark, d)[0].select("entity_id", "entity_type", "score"), "ip", 0.3, 20))
+
+
+@query
+def service_counters(spark, d):
+    nodes, edges = scored_graph(spark, d)
+    return risk.counters(netlog(spark, d), chains.scans(nodes, edges, 0.9, 10, 5))
+
+
+@query
+def chains_of_entities(spark, d):
+    nodes, edges = scored_graph(spark, d)
+    old, new = profile_parts(spark, d)
+    found = chains.enrich(chains.scans(nodes, edges, 0.9, 10, 5))
+    return rounded(risk.chains_of(risk.updated(old, new, found, 86_401_000), found).select("entity_id", "chain_type", "total_risk_score"))
+
+
+@query
+def report_summary(spark, d):
+    nodes, edges = scored_graph(spark, d)
+    return risk.severity_counts(chains.enrich(chains.scans(nodes, edges, 0.9, 10, 5)))
+
+
 @query
 def chain_narratives(spark, d):
     nodes, edges = scored_graph(spark, d)
@@ -430,6 +475,12 @@ def evaluation_metrics(spark, d):
     return evaluation.metrics(truth, out.chains, 0.5)
 
 
+@query
+def injected_records(spark, d):
+    logs, _ = evaluation.demo_logs(spark, 1_718_400_000_000)
+    return evaluation.injected(logs).groupBy(F.try_element_at("tags", F.lit(-1)).alias("attack")).agg(F.count("*").alias("n"))
+
+
 @query
 def evaluation_per_type(spark, d):
     logs, truth = evaluation.demo_logs(spark, 1_718_400_000_000)

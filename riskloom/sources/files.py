@@ -12,7 +12,17 @@ from .registry import get_parser
 def read_lines(spark: SparkSession, path: str, pattern: str = "*.{log,txt}") -> DataFrame:
     """(value) of every line that is not blank, below path."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    return df.filter(F.trim("value") != "")
+    if pattern == "*":  # any name but those of tables
+        df = df.filter(~F.lower(F.col("_metadata.file_name")).rlike(r"\.(parquet|json)$"))
+    return df.select("value").filter(F.trim("value") != "")
+
+
+def read_events(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(value) of every <Event> element below path, over however many lines, as one line each."""
+    end = "</Event>"
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", end).text(path)
+    one = F.regexp_replace("value", r"\s*[\r\n]+\s*", " ")
+    return df.select(F.concat(F.regexp_extract(one, r"(<Event[\s>].*)$", 1), F.lit(end)).alias("value")).filter(F.col("value") != end)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -29,9 +39,12 @@ def load(spark: SparkSession, path: str, kind: str = "syslog") -> DataFrame:
     """Parquet below path if there is any, else the first of *.log, *.txt, * that has lines, parsed."""
     if has_files(spark, path, "*.parquet"):
         return read_logs(spark, path)
-    for pattern in ("*.log", "*.txt", "*[!.parquet!.json]"):
+    for pattern in ("*.log", "*.txt", "*"):
         if has_files(spark, path, pattern):
-            return with_ts_ms(get_parser(kind)(read_lines(spark, path, pattern)))
+            lines = read_lines(spark, path, pattern)
+            if kind == "etw" and not lines.filter(F.contains("value", F.lit("<Event"))).isEmpty():
+                lines = read_events(spark, path, pattern)
+            return with_ts_ms(get_parser(kind)(lines))
     return with_ts_ms(spark.createDataFrame([], LOG_SCHEMA))
 
 
@@ -47,5 +60,12 @@ def normalize(spark: SparkSession, path: str, out: str, kind: str, pattern: str
     logs.withColumn("date", F.to_date("timestamp")).write.mode("overwrite").option("compression", "zstd").partitionBy("source_type", "date").parquet(out)
 
 
+def write_report(spark: SparkSession, path: str, results: DataFrame, latency: DataFrame, config: dict) -> None:
+    """An evaluation as one JSON row: results, latency and config (strings)."""
+    one = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+    pairs = [F.lit(str(x)) for kv in config.items() for x in kv]
+    write_json(one(results, "results").join(one(latency, "latency")).withColumn("config", F.create_map(*pairs)), path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -49,5 +49,17 @@ def protocol(text: Column, names: tuple[str, ...]) -> Column:
 
 
 def iso_time(text: Column, otherwise: Column) -> Column:
-    """An ISO 8601 time (UTC unless it says otherwise), or the other time."""
-    return F.coalesce(text.try_cast("timestamp"), otherwise)
+    """An ISO 8601 time (UTC unless it says otherwise, whatever the session's zone), or the other time."""
+    own = text.rlike(r"(?i)(Z|UTC|GMT|[+-]\d\d?:?\d\d|\d[+-]\d\d)$") & ~text.rlike(r"^\d{4}-\d\d-\d\d$")
+    return F.coalesce(F.when(own, text.try_cast("timestamp")).otherwise(utc(text.try_cast("timestamp_ntz"))), otherwise)
+
+
+def utc(naive: Column) -> Column:
+    """A time without a zone as one of UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp")
+
+
+def in_utc(text: Column, pattern: str) -> Column:
+    """A time of UTC written in a pattern; null if it isn't."""
+    zone = F.concat(text, F.lit(" +0000"))
+    return F.try_to_timestamp(zone, F.lit(pattern + " xx"))
