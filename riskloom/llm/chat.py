@@ -7,7 +7,8 @@ written `\\-`, `\\l` and `\\g`, so no text can end or begin a turn, and reading
 
 Nulls: a null text or role is empty; a null, invalid or unmapped record gives null turns and keeps its
 fingerprint (null when it is no JSON object), and its formatted text is null. Empty message lists format
-as the empty string. Equal turn numbers are ordered by role, then text. Other columns are carried along.
+as the empty string. Equal turn numbers are ordered by role, then text. Other columns are carried along, but for
+those with the name of a result (fingerprint, layout, formatted, loss_spans), which give way.
 """
 
 from __future__ import annotations
@@ -79,8 +80,8 @@ def canonical(role: Column) -> Column:
     return reduce(lambda c, x: F.when(role == x[0], F.lit(x[1])).otherwise(c), ROLE_NAMES.items(), role)
 
 
-def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
-    """records with fingerprint (long), layout (string) and turns (array of role and text)."""
+def canonical_turns(records: DataFrame, column: str = "record", into: str = "turns") -> DataFrame:
+    """records with fingerprint (long), layout (string) and turns (array of role and text; `into` names it)."""
     found = mappings()
     examples = records.sparkSession.range(1).select(*[fingerprint(F.lit(e)).alias(f"f{i}") for i, (_, e, _) in enumerate(found)]).first()
     v, own = F.try_parse_json(F.col(column)), fingerprint(F.col(column))
@@ -89,7 +90,7 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
     for i, (name, _, to_turns) in enumerate(found):
         mine = F.col("fingerprint") == F.lit(examples[i])
         layout, turns = F.when(mine, F.lit(name)).otherwise(layout), F.when(mine, to_turns(v)).otherwise(turns)
-    return out.withColumn("layout", layout).withColumn("turns", turns)
+    return out.withColumn("layout", layout).withColumn(into, turns)
 
 
 def escaped(text: Column) -> Column:
@@ -107,7 +108,7 @@ def unescaped(text: Column) -> Column:
 def formatted(records: DataFrame, column: str = "record") -> DataFrame:
     """records with fingerprint, layout, formatted (text) and loss_spans (start from 0, and length)."""
     head = lambda t: F.concat(F.lit("<turn "), escaped(t["role"]), F.lit(">"))
-    parts = F.transform("turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), head(t).alias("head"), escaped(t["text"]).alias("body")))
+    parts = F.transform("_chat_turns", lambda t: F.struct((t["role"] == "assistant").alias("loss"), head(t).alias("head"), escaped(t["text"]).alias("body")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, length: int>>").alias("spans"))
 
     def step(acc, p):
@@ -118,10 +119,10 @@ def formatted(records: DataFrame, column: str = "record") -> DataFrame:
             F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 
-    out = canonical_turns(records, column).withColumn("parts", parts)
-    whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit("</turn>"))), "")
-    spans = F.aggregate("parts", zero, step, lambda acc: acc["spans"])
-    return out.withColumn("formatted", whole).withColumn("loss_spans", spans).drop("parts", "turns")
+    out = canonical_turns(records, column, "_chat_turns").withColumn("_chat_parts", parts)
+    whole = F.array_join(F.transform("_chat_parts", lambda p: F.concat(p["head"], p["body"], F.lit("</turn>"))), "")
+    spans = F.aggregate("_chat_parts", zero, step, lambda acc: acc["spans"])
+    return out.withColumn("formatted", whole).withColumn("loss_spans", spans).drop("_chat_parts", "_chat_turns")
 
 
 def read_back(text: Column) -> Column:

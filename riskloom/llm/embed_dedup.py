@@ -18,7 +18,8 @@ More centres are drawn for more nodes, so that a shard has about SHARD of them.
 against brute force for every vector whose id is divisible by 50.
 
 Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; so do
-those with a null label. Vectors of different length never link. Repeated vec_ids are rows of their own.
+those with a null label or a null vec_id. Vectors of different length never link. Repeated vec_ids are rows of
+their own. An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("vector")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
-    return rows.filter(F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda c: c != 0))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda c: c != 0))
 
 
 def shard_of(sample: DataFrame, sizes: dict) -> dict:

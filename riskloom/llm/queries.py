@@ -36,20 +36,6 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-OP5_SQL = r"""
-WITH k AS (
-  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t FROM documents),
-bids AS (
-  SELECT doc_id, size, key, t, s, CAST('0x' || substr(md5(key || ':' || s), 1, 15) AS BIGINT) AS bid FROM k, range(17) AS r(s)),
-won AS (
-  SELECT doc_id, size, t, substr(md5(key || ':slot'), 1, 3) AS bucket,
-    arg_max(s, bid) FILTER (s < 16) AS shard, arg_max(s, bid) AS grown_shard FROM bids GROUP BY ALL)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CRC AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
-FROM won
-"""
-
-
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
 

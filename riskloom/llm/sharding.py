@@ -8,8 +8,7 @@ Only one (shard, bucket) is ordered at a time; the counts of the buckets before
 table of shards x 4096 rows at most, which is broadcast.
 
 A null key counts as the empty string, a null text as empty. Repeated rows share a shard and get
-consecutive slots. An empty table gives an empty one. Other columns are carried along unless they
-have the name of a result.
+consecutive slots. An empty table gives an empty one. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations

@@ -350,6 +350,19 @@ LAYOUTS = [
 ]
 
 
+def test_chat_keeps_columns_of_the_same_name(spark):
+    rows = spark.createDataFrame([(1, json.dumps(LAYOUTS[2][0]), "t", "p", "f")], "i long, record string, turns string, parts string, formatted string")
+    r = chat.formatted(rows).first()
+    assert (r.turns, r.parts, r.layout) == ("t", "p", "prompt+response") and "<turn user>q</turn>" in r.formatted
+
+
+def test_embeddings_null_ids(spark):
+    rows = [(None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (4, [1.0, 2.0], 0), (4, [1.0, 2.0], 0), (9, [5.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((tuple(r) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(4, 1, 4, True)] * 2 + [(9, 0, 9, True)], key=str)
+
+
 def test_chat_layouts(spark):
     rows = [(i, json.dumps(x)) for i, (x, _) in enumerate(LAYOUTS)] + [(90, None), (91, "{"), (92, "[1]")]
     out = chat.formatted(spark.createDataFrame(rows, "i long, record string"))
