@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontam, jaccard_join, pieces, secret_scan, toxicity
-from riskloom.llm.frames import only, written
+from riskloom.llm.frames import only, saved, written
 
 ORACLE_SQL = None  # trained models decide in the first stage
 
@@ -29,13 +29,14 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs, k=5, num=4, den=5)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = saved(groups.filter("doc_id <> component_id").select("doc_id").distinct())
     return only(docs, gone, "doc_id", anti=True).select(docs.columns)
 
 
 def contaminated_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), size=13, share=20)
-    return only(docs, found.filter("contaminated").select("doc_id").distinct(), "doc_id", anti=True).select(docs.columns)
+    gone = saved(found.filter("contaminated").select("doc_id").distinct())
+    return only(docs, gone, "doc_id", anti=True).select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
