@@ -279,6 +279,24 @@ def test_decontamination(spark):
     assert left[6] == "alpha beta"
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_decontamination_rows(spark, monkeypatch, most):
+    """Repeated rows, one doc_id with different texts, null ids, capitals beyond ASCII, a very long text; broadcast and shuffled."""
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
+    item = " ".join(f"Ä{i} q{i}" for i in range(10))
+    long_text = "Word " * 200_000 + item
+    rows = [(1, item), (1, item), (1, "clean text"), (None, item), (None, None), (2, item.lower()), (3, long_text), (4, "DŽ İ Σ alpha BETA"), (5, "")]
+    bench = spark.createDataFrame([(1, item), (2, "alpha beta")], "item_id long, text string")
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    told = sorted(((r.doc_id is None, r.doc_id, r.n_words, r.n_hit, sorted(r.item_ids), r.contaminated) for r in got), key=str)
+    want = [(1, 20, 20, [1]), (1, 20, 20, [1]), (1, 2, 0, []), (None, 20, 20, [1]), (None, 0, 0, []), (2, 20, 0, []), (3, 200_020, 20, [1]), (4, 5, 2, [2]), (5, 0, 0, [])]
+    assert told == sorted(((i is None, i, n, h, x, h > 0 and 20 * h >= n) for i, n, h, x in want), key=str)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert decontam.contamination(empty, bench).count() == 0
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).collect()
+    assert len(got) == len(rows) and not any(r.n_hit or r.contaminated for r in got)
+
+
 def test_sharding(spark):
     texts = [None, "", "é", *(["same"] * 50), *[f"t{i}" for i in range(600)]]
     got = {r.doc_id: r for r in sharding.sharded(docs(spark, texts), [1.0] * 16, [1.0] * 17).collect()}
