@@ -11,9 +11,12 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows, written to the folder in spark.checkpoint.dir and read from there.
 
     A step's plan then begins at its inputs, and lost executors lose nothing. Only where the setting is
-    unset (as in tests) is a folder made.
+    unset and all runs in one process, as in tests, is a folder made.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import saved
+from .ranks import percentiles, running
 
 WEIGHTS = {"isolation_forest": 1.0, "graph_rare_path": 1.5, "ecod": 0.9, "density": 0.8, "reconstruction": 1.2}
 EULER = 0.5772156649015329
@@ -33,11 +34,9 @@ def left_tails(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame
 
     Counts per distinct value come first, so that the running sum is over values, not rows.
     """
-    rows = long(df, keys, features)
-    counts = rows.groupBy("feature", "value").agg(F.count("*").alias("c"))
-    up = Window.partitionBy("feature").orderBy("value")
-    p = F.sum("c").over(up) / F.sum("c").over(Window.partitionBy("feature"))
-    return rows.join(counts.select("feature", "value", p.alias("p")), ["feature", "value"])
+    rows = long(saved(df.select(*keys, *features)), keys, features)
+    counts = running(rows.groupBy("feature", "value").agg(F.count("*").alias("c")), "value", ["feature"])
+    return rows.join(counts.select("feature", "value", (F.col("upto") / F.col("n")).alias("p")), ["feature", "value"])
 
 
 def ecod(df: DataFrame, keys: list[str], features: list[str], digits: int = 9) -> DataFrame:
@@ -56,7 +55,8 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
 
 def clipped(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """df with scaled: the column between two of its percentiles, from 0 to 1."""
-    ends = df.agg(F.percentile(column, F.lit(low)).alias("low"), F.percentile(column, F.lit(high)).alias("high"))
+    df = saved(df)
+    ends = percentiles(df, column, {"low": low, "high": high}).drop("n")
     span = F.col("high") - F.col("low")
     scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(column) - F.col("low")) / span))
     return df.join(F.broadcast(ends)).withColumn("scaled", F.when(span < 1e-10, 0.0).otherwise(scaled)).drop("low", "high")
@@ -64,10 +64,8 @@ def clipped(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
 
 def average_rank(scores: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, share): rank of score, ties averaged, over the number of rows; computed over distinct scores."""
-    counts = scores.groupBy("score").agg(F.count("*").alias("c"))
-    below = F.sum("c").over(Window.orderBy("score")) - F.col("c")
-    n = F.sum("c").over(Window.partitionBy())
-    ranks = counts.select("score", ((below + (F.col("c") + 1) / 2) / n).alias("share"))
+    counts = running(scores.groupBy("score").agg(F.count("*").alias("c")), "score")
+    ranks = counts.select("score", ((F.col("upto") - F.col("c") + (F.col("c") + 1) / 2) / F.col("n")).alias("share"))
     return scores.join(ranks, "score").select(*keys, "share")
 
 
@@ -180,8 +178,8 @@ def reconstruction(df: DataFrame, keys: list[str], features: list[str], componen
 
     from pyspark.ml.functions import vector_to_array
 
-    raw = rows.select(*keys, error(vector_to_array("_scaled")).alias("raw"))
-    ends = raw.agg(F.percentile("raw", F.lit(0.95)).alias("high"))
+    raw = saved(rows.select(*keys, error(vector_to_array("_scaled")).alias("raw")))
+    ends = percentiles(raw, "raw", {"high": 0.95}).select("high")
     score = F.least(F.lit(1.0), F.col("raw") / F.greatest("high", F.lit(1e-10)))
     return raw.join(F.broadcast(ends)).select(*keys, score.alias("score"))
 
@@ -218,7 +216,8 @@ def gpd_threshold(scores: DataFrame, tail: float = 0.10, column: str = "score")
     Below 100 scores the threshold is 0.95.
     """
     s = F.col(column)
-    base = scores.agg(F.count("*").alias("n"), F.percentile(column, F.lit(1 - tail)).alias("u"))
+    scores = saved(scores.select(column))
+    base = percentiles(scores, column, {"u": 1 - tail})
     over = scores.join(F.broadcast(base)).filter(s > F.col("u")).select((s - F.col("u")).alias("y"))
     moments = over.agg(F.count("*").alias("k"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.max("y").alias("most"))
     m, v = F.col("m"), F.greatest("v", F.lit(1e-12))

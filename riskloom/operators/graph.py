@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from ..lineage import saved
+from .ranks import percentiles
 
 
 def column(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -135,7 +137,7 @@ def rare_path_scores(rarity: DataFrame, length: int = 5, percentile: float = 0.9
     Paths of 2 to `length` edges start at nodes of degree 2 to 1000 with a rare edge; where there are
     none, at the `fallback` nodes of the highest degree.
     """
-    edges = rarity.select("src", "dst", F.round("rarity", 9).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    edges = saved(rarity.select("src", "dst", F.round("rarity", 9).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w")))
     ends = edges.select(F.col("src").alias("id"), "w").unionByName(edges.select(F.col("dst").alias("id"), "w"))
     nodes = ends.groupBy("id").agg(F.count("*").alias("d"), F.max("w").alias("w"))
     seeds = nodes.filter((F.col("d").between(2, 1000)) & (F.col("w") > least))
@@ -148,11 +150,11 @@ def rare_path_scores(rarity: DataFrame, length: int = 5, percentile: float = 0.9
         paths = paths.withColumn("at", F.element_at("path", -1)).join(e, "at").filter(~F.array_contains("path", F.col("dst")))
         paths = paths.select(F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("step")).alias("w"))
         best = Window.partitionBy(F.element_at("path", 1), F.element_at("path", -1)).orderBy(F.desc("w"), "path")
-        paths = paths.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
+        paths = saved(paths.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r"))
         if hop >= 2:
             part = paths.select("path", (F.col("w") / hop).alias("mean"))
             all_paths = part if all_paths is None else all_paths.unionByName(part)
-    cut = all_paths.agg(F.percentile("mean", F.lit(percentile)).alias("cut"))
+    cut = percentiles(all_paths, "mean", {"cut": percentile}).select("cut")
     kept = all_paths.join(F.broadcast(cut)).filter("mean >= cut")
     each = kept.select(F.explode("path").alias("id"), "mean", "path")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("mean"), "path"))

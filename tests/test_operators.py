@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import net, text
-from riskloom.operators import chains, detectors, evaluation, features, graph, intel, risk
+from riskloom.operators import chains, detectors, evaluation, features, graph, intel, ranks, risk
 from riskloom.streaming import state
 
 LOG = "event_id long, src_ip string, dst_ip string, dst_port int, proto string, event_type string, ts_ms long, bytes_out long, bytes_in long, user string, domain string, dns_rcode string, waf_rule_id string, severity int"
@@ -169,3 +169,23 @@ def test_state_versions_and_stream(spark, tmp_path, sf_dir):
     assert tuple(got) == tuple(want)
     state.merge_window(store, all_logs, 2)  # a version that is there stays
     assert store.read("nodes").agg(F.sum("total_events")).first()[0] == graph.build_nodes(all_logs).agg(F.sum("total_events")).first()[0]
+
+
+def test_ranks_and_percentiles(spark):
+    """Running sums over many partitions, ties, one value alone, no rows, nulls."""
+    values = [1.5, 2.0, 2.0, -3.0, 7.25, 2.0, 9.0, 9.0, 0.0, None, *[float(i % 37) / 4 for i in range(400)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    got = ranks.percentiles(df, "v", {"a": 0.01, "b": 0.5, "c": 0.9, "d": 1.0}).first()
+    want = df.selectExpr("count(v) n", "percentile(v, 0.01) a", "percentile(v, 0.5) b", "percentile(v, 0.9) c", "percentile(v, 1.0) d").first()
+    assert [round(x, 9) for x in got] == [round(x, 9) for x in want]
+    assert ranks.percentiles(df.limit(1), "v", {"a": 0.9}).first() == (1, 1.5)
+    assert ranks.percentiles(df.limit(0), "v", {"a": 0.9}).first() == (0, None)
+    known = sorted(v for v in values if v is not None)
+    rows = df.filter("v is not null").select("id", F.col("v").alias("score"))
+    for r in detectors.average_rank(rows, ["id"]).collect():
+        v = values[r.id]
+        assert abs(r.share - (sum(x < v for x in known) + (known.count(v) + 1) / 2) / len(known)) < 1e-12
+    tails = detectors.left_tails(df.filter("v is not null").withColumn("w", -F.col("v")), ["id"], ["v", "w"])
+    for r in tails.collect():
+        v = r.value if r.feature == "v" else -r.value
+        assert abs(r.p - sum(x <= v if r.feature == "v" else x >= v for x in known) / len(known)) < 1e-12
