@@ -5,16 +5,22 @@ construction, minimised by splitting classes of states until none differs, and l
 transition array. Texts are then read once, byte by byte, for all rules together: numpy advances
 thousands of stretches of text a step. A stretch ends at a *reset*, a pair of bytes after which the
 automaton is in its start state whatever came before, so stretches are independent of each other.
-Where an accepting state of a rule was met, that rule's pattern gives the spans in the stretch:
-leftmost first, not overlapping, those that are too short dropped.
 
-A null text is empty and has no spans. Repeated rows get a row each. Other columns are carried along
-unless they have the name of a result. Offsets are code points, ends exclusive.
+In the few stretches where a rule is accepted, automata built alike give the bounds: one of the
+rules read backwards marks, in one pass from the right, every byte at which a match of a rule
+starts; from the leftmost mark the rule's own automaton, which is tied to the start, goes on to the
+last byte that it accepts, and the next match is looked for after that. Matches that are too short
+are dropped then. No pattern library takes part. Rules must be such that the longest match from a
+start is the greedy one, as it is for all here.
+
+A null text is empty and has no spans; a very long one is read like any other, in time linear in its
+length. Spans that start together come in the order of the rules. Repeated rows get a row each, an
+empty table gives none. Other columns are carried along unless they have the name of a result.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +37,16 @@ ALNUM = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 @dataclass(frozen=True)
 class Rule:
-    """parts: ("word", literals in either case) or ("one" | "maybe" | "some" | "any", bytes)."""
+    """parts: ("word", literals in either case), ("exact", literal), ("repeat", times, bytes) for so many or more,
+    or ("one" | "maybe" | "some" | "any", bytes).
+
+    least: bytes a match must have; with `tail`, counted from the first byte of its last part.
+    """
 
     kind: str
     parts: tuple
-    pattern: bytes
-    group: int
     least: int
+    tail: bool = False
 
 
 #: Fixed rules. The first three are the base ones; order decides between spans that start together.
@@ -48,15 +57,14 @@ RULES = (
             ("word", (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")),
             ("maybe", b"\"'"), ("any", b" "), ("one", b":="), ("any", b" "), ("maybe", b"\"'"), ("some", ALNUM + b"+/_.=-"),
         ),
-        rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        2,
         8,
+        tail=True,
     ),
-    Rule("access", (("exact", b"AKIA"), ("some", ALNUM[:26] + ALNUM[52:])), rb"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", (("repeat", 32, b"0123456789abcdef"),), rb"[0-9a-f]+", 0, 32),
-    Rule("github", (("exact", b"gh"), ("one", b"pousr"), ("exact", b"_"), ("some", ALNUM)), rb"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("jwt", (("exact", b"eyJ"), ("some", ALNUM + b"_-"), ("one", b"."), ("some", ALNUM + b"_-")), rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
-    Rule("pem", (("exact", b"-----BEGIN "), ("any", ALNUM[:26] + b" "), ("exact", b"PRIVATE KEY-----")), rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("access", (("exact", b"AKIA"), ("some", ALNUM[:26] + ALNUM[52:])), 16),
+    Rule("hex", (("repeat", 32, b"0123456789abcdef"),), 32),
+    Rule("github", (("exact", b"gh"), ("one", b"pousr"), ("exact", b"_"), ("some", ALNUM)), 40),
+    Rule("jwt", (("exact", b"eyJ"), ("some", ALNUM + b"_-"), ("one", b"."), ("some", ALNUM + b"_-")), 24),
+    Rule("pem", (("exact", b"-----BEGIN "), ("any", ALNUM[:26] + b" "), ("exact", b"PRIVATE KEY-----")), 1),
 )
 BASE_KINDS = ("assign", "access", "hex")
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -73,60 +81,81 @@ class Automaton:
     classes: int
 
 
-def nondeterministic(rules) -> tuple[list[list[tuple[frozenset, int]]], dict[int, int]]:
-    """Edges (bytes, to) by state, from start state 0, which loops on every byte; rule by final state."""
-    edges: list[list[tuple[frozenset, int]]] = [[(frozenset(range(256)), 0)]]
-    finals = {}
-
-    def new() -> int:
-        edges.append([])
-        return len(edges) - 1
+def nondeterministic(rules) -> tuple[list[tuple[int, frozenset, int, int]], dict[int, int], int]:
+    """Edges (from, bytes, to, rule) from start state 0, into which none leads; rule by final state; count of states."""
+    edges: list[tuple[int, frozenset, int, int]] = []
+    finals: dict[int, int] = {}
+    count = 1
 
-    def chain(froms: set[int], sets) -> set[int]:
+    def chain(froms: set[int], sets, rule: int) -> set[int]:
+        nonlocal count
         for s in sets:
-            to = new()
-            for f in froms:
-                edges[f].append((frozenset(s), to))
-            froms = {to}
+            edges.extend((f, frozenset(s), count, rule) for f in froms)
+            froms, count = {count}, count + 1
         return froms
 
     for r, rule in enumerate(rules):
         at = {0}
         for what, *arg in rule.parts:
             if what == "word":
-                at = set().union(*(chain(at, [bytes([c]).lower() + bytes([c]).upper() for c in w]) for w in arg[0]))
+                at = set().union(*(chain(at, [bytes([c]).lower() + bytes([c]).upper() for c in w], r) for w in arg[0]))
             elif what == "exact":
-                at = chain(at, [bytes([c]) for c in arg[0]])
+                at = chain(at, [bytes([c]) for c in arg[0]], r)
             elif what == "repeat":
-                at = chain(at, [arg[1]] * arg[0])
-                for f in at:
-                    edges[f].append((frozenset(arg[1]), f))
+                at = chain(at, [arg[1]] * arg[0], r)
+                edges.extend((f, frozenset(arg[1]), f, r) for f in at)
             else:
-                after = chain(at, [arg[0]])
+                after = chain(at, [arg[0]], r)
                 if what in ("some", "any"):
-                    for f in after:
-                        edges[f].append((frozenset(arg[0]), f))
+                    edges.extend((f, frozenset(arg[0]), f, r) for f in after)
                 at = after | at if what in ("maybe", "any") else after
-        for f in at:
-            finals[f] = r
-    return edges, finals
+        finals |= dict.fromkeys(at, r)
+    return edges, finals, count
+
+
+ANY_BYTE = frozenset(range(256))
 
 
 def compiled(rules=RULES) -> Automaton:
-    edges, finals = nondeterministic(rules)
+    """Reads forwards; accepts a rule where a match of it ends, wherever that began."""
+    edges, finals, _ = nondeterministic(rules)
+    return deterministic([(0, ANY_BYTE, 0), *((u, s, v) for u, s, v, _ in edges)], finals)
+
+
+def compiled_backwards(rules=RULES) -> Automaton:
+    """Reads backwards; accepts a rule where a match of it starts, wherever that ends."""
+    edges, finals, count = nondeterministic(rules)
+    turned = [(0, ANY_BYTE, 0)]
+    for u, s, v, r in edges:
+        to = u or count + r
+        turned += [(v, s, to), (0, s, to)] if v in finals else [(v, s, to)]
+    return deterministic(turned, {count + r: r for r in range(len(rules))})
+
+
+def compiled_tied(rule: Rule) -> Automaton:
+    """Reads one rule from a start on; accepts where it may end."""
+    edges, finals, _ = nondeterministic([rule])
+    return deterministic([(u, s, v) for u, s, v, _ in edges], finals)
+
+
+def deterministic(edges: list[tuple[int, frozenset, int]], finals: dict[int, int]) -> Automaton:
+    """Subset construction and minimisation, from start state 0."""
+    out: dict[int, list[tuple[frozenset, int]]] = {}
+    for u, s, v in edges:
+        out.setdefault(u, []).append((s, v))
     # bytes that no edge tells apart are one class
     signs: dict[tuple, int] = {}
-    every = sorted({s for out in edges for s, _ in out}, key=sorted)
+    every = sorted({s for _, s, _ in edges}, key=sorted)
     byte_class = np.array([signs.setdefault(tuple(b in s for s in every), len(signs)) for b in range(256)], np.uint8)
     sample = [int(np.flatnonzero(byte_class == c)[0]) for c in range(len(signs))]
-    by_byte = [[frozenset(to for s, to in out if b in s) for b in sample] for out in edges]
+    by_byte = {u: [frozenset(to for s, to in own if b in s) for b in sample] for u, own in out.items()}
     # subset construction
     names, todo, rows = {frozenset([0]): 0}, [frozenset([0])], []
     while todo:
         state = todo.pop(0)
         row = []
         for c in range(len(sample)):
-            to = frozenset().union(*(by_byte[s][c] for s in state))
+            to = frozenset().union(*(by_byte[s][c] for s in state if s in by_byte))
             if to not in names:
                 names[to] = len(names)
                 todo.append(to)
@@ -178,35 +207,98 @@ def flagged(a: Automaton, classes: np.ndarray, start: np.ndarray, end: np.ndarra
     return out
 
 
-def scan(a: Automaton, texts: pa.Array, rules=RULES) -> Iterator[list[list[tuple[str, int, int]]]]:
+def begun(a: Automaton, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, place, rules as bits) by stretch and place: where matches start, from one pass backwards over all stretches."""
+    order = np.argsort(start - end, kind="stable")
+    last, size = end[order] - 1, (end - start)[order]
+    state = np.zeros(len(last), np.int32)
+    accepts = np.repeat(a.accepts, a.classes)
+    alive = len(last)
+    held = [(np.zeros(0, np.int64),) * 3]
+    for t in range(int(size[0]) if alive else 0):
+        while alive and size[alive - 1] <= t:
+            alive -= 1
+        at = last[:alive] - t
+        s = a.step[state[:alive] + a.byte_class[data[at]]]
+        state[:alive] = s
+        hit = np.flatnonzero(accepts[s])
+        if len(hit):
+            held.append((order[hit], at[hit], accepts[s[hit]]))
+    which, place, met = (np.concatenate(x) for x in zip(*held, strict=True))
+    by = np.lexsort((place, which))
+    return which[by], place[by], met[by]
+
+
+class Reach:
+    """One rule's own automaton, laid out for stepping byte by byte."""
+
+    def __init__(self, rule: Rule):
+        a = compiled_tied(rule)
+        self.rule, self.byte_class = rule, a.byte_class.tobytes()
+        self.step, self.accepts = a.step.tolist(), np.repeat(a.accepts, a.classes).tolist()
+        stuck = (a.step.reshape(-1, a.classes) == np.arange(len(a.accepts))[:, None] * a.classes).all(axis=1) & (a.accepts == 0)
+        self.dead = int(np.flatnonzero(stuck)[0]) * a.classes
+
+    def matches(self, piece: bytes, starts: list[int]) -> Iterator[tuple[int, int]]:
+        """Leftmost matches that don't overlap, those that are too short dropped."""
+        classes, done = piece.translate(self.byte_class), 0
+        for s in starts:
+            if s < done:
+                continue
+            state, first = 0, None
+            for p in range(s, len(classes)):
+                state = self.step[state + classes[p]]
+                if state == self.dead:
+                    break
+                if self.accepts[state]:
+                    first, done = p if first is None else first, p + 1
+            if done - (first if self.rule.tail else s) >= self.rule.least:
+                yield s, done
+
+
+@dataclass
+class Scanner:
+    """All automata of a set of rules."""
+
+    rules: tuple
+    ends: Automaton
+    starts: Automaton
+    reach: list[Reach]
+
+
+def scanner(rules=RULES) -> Scanner:
+    return Scanner(tuple(rules), compiled(rules), compiled_backwards(rules), [Reach(r) for r in rules])
+
+
+def scan(a: Scanner, texts: pa.Array) -> Iterator[list[list[tuple[str, int, int]]]]:
     """For each run of texts, the spans (kind, start, end) of each text, by start, then rule."""
-    patterns = [re.compile(r.pattern) for r in rules]
     for _, data, offs in chunks(texts):
         spans: list[list[tuple[int, int, int]]] = [[] for _ in range(len(offs) - 1)]
-        classes = a.byte_class[data]
-        start, end = stretches(a, classes, offs)
-        met = flagged(a, classes, start, end)
-        some = np.flatnonzero(met)
-        owner = np.searchsorted(offs, start[some], "right") - 1
-        for i, d in zip(some, owner, strict=True):
-            piece = data[start[i] : end[i]].tobytes()
-            for r, rule in enumerate(rules):
-                if met[i] >> r & 1:
-                    for m in patterns[r].finditer(piece):
-                        if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                            spans[d].append((int(start[i] - offs[d]) + m.start(), r, int(start[i] - offs[d]) + m.end()))
+        classes = a.ends.byte_class[data]
+        start, end = stretches(a.ends, classes, offs)
+        some = np.flatnonzero(flagged(a.ends, classes, start, end))
+        start, end = start[some], end[some]
+        owner = np.searchsorted(offs, start, "right") - 1
+        which, place, met = begun(a.starts, data, start, end)
+        heads = np.searchsorted(which, np.arange(len(some) + 1))
+        for i, d in enumerate(owner):
+            piece, base = data[start[i] : end[i]].tobytes(), int(start[i] - offs[d])
+            own, bits = place[heads[i] : heads[i + 1]] - start[i], met[heads[i] : heads[i + 1]]
+            for r, reach in enumerate(a.reach):
+                at = own[(bits >> r & 1) > 0].tolist()
+                spans[d] += [(base + s, r, base + e) for s, e in reach.matches(piece, at)]
         out = []
         for d, own in enumerate(spans):
             if own:
-                place = np.concatenate([[0], np.cumsum((data[offs[d] : offs[d + 1]] & 0xC0) != 0x80)])
-                own = [(rules[r].kind, int(place[s]), int(place[e])) for s, r, e in sorted(own)]
+                code = np.concatenate([[0], np.cumsum((data[offs[d] : offs[d + 1]] & 0xC0) != 0x80)])
+                own = [(a.rules[r].kind, int(code[s]), int(code[e])) for s, r, e in sorted(own)]
             out.append(own)
         yield out
 
 
 def automaton(spark: SparkSession):
     """The compiled rules, broadcast: a few thousand states, whatever the data."""
-    return spark.sparkContext.broadcast(compiled())
+    return spark.sparkContext.broadcast(scanner())
 
 
 def secret_spans(docs: DataFrame, others: list[str] | None = None) -> DataFrame:

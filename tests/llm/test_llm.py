@@ -394,16 +394,30 @@ def test_chat_layouts(spark):
     assert all(got[i].formatted is None for i in (5, 90, 91, 92))
 
 
+#: By rule: the pattern it stands for, the group whose length counts, and the least length.
+SECRET_PATTERNS = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "access": (r"AKIA[A-Z0-9]+", 0, 16),
+    "hex": (r"[0-9a-f]+", 0, 32),
+    "github": (r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 24),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+}
+
+
 def test_secret_automaton_against_patterns():
-    a = secret_scan.compiled()
+    a = secret_scan.scanner()
     rng = random.Random(6)
     bits = ["token", "secret", "Password", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "abcdef12", "0" * 31, "f" * 33, "AKIA", "ABCDEFGHIJ123456", "\n", ",", "é", ".", "x", "ghp_" + "a" * 40]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", None]
+    bits += ["eyJ", "eyJ" + "k" * 12, ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "ſecret=", "\u212aey", "-", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(4000)] + ["", None]
+    texts += ["0" * 40_000 + " token=" + "b" * 40_000 + "token=" + "c" * 9, "token=" * 8_000]
     got = [d for part in secret_scan.scan(a, pa.array(texts)) for d in part]
+    assert [r.kind for r in secret_scan.RULES] == list(SECRET_PATTERNS)
     for t, spans in zip(texts, got, strict=True):
         want = []
-        for k, rule in enumerate(secret_scan.RULES):
-            want += [(m.start(), k, m.end()) for m in re.finditer(rule.pattern.decode(), t or "", re.ASCII) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        for k, (pattern, group, least) in enumerate(SECRET_PATTERNS.values()):
+            want += [(m.start(), k, m.end()) for m in re.finditer(pattern.replace("(?i:", "(?ia:"), t or "") if m.end(group) - m.start(group) >= least]
         assert spans == [(secret_scan.RULES[k].kind, s, e) for s, k, e in sorted(want)]
 
 
