@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, paragraph_dedup, pieces, secret_scan, sharding, suffix_dedup, toxicity
+from . import chat, collocations, decontam, embed_dedup, langid, lexical, paragraph_dedup, pieces, secret_scan, sharding, suffix_dedup, toxicity
 from .jaccard_join import jaccard_components
 
 
@@ -82,6 +82,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), pieces.load(pieces.MODEL), ids=False, decode=False)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,9 +107,14 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_secret_scans,
         op10_sentencepiece,
+        op11_language_id,
+        op12_ranked_lexical_search,
+        op13_phrase_collocations,
     )
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontam.ORACLE,
     "op7_chat_formatting": OP7_SQL,
+    "op12_ranked_lexical_search": lexical.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
