@@ -24,7 +24,9 @@ EVENT_IDS = {
     "file_delete": (5140,),
     "registry_modify": (5136, 12, 13, 14),
 }
+#: Severities of the levels.
 LEVELS = {1: 10, 2: 8, 3: 5, 4: 3, 5: 1}
+#: Protocols that are looked for.
 PROTOCOLS = ("TCP", "UDP", "ICMP", "HTTP", "DNS", "TLS", "SMB", "RDP")
 #: Fixed data field names, the first present one counts.
 FIELDS = {
