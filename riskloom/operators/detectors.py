@@ -201,9 +201,15 @@ def density(df: DataFrame, keys: list[str], features: list[str], bins: int = 4)
     return clipped(raw, "raw", 0.01, 0.99).select(*keys, F.col("scaled").alias("score"))
 
 
-def detect(features: DataFrame, keys: list[str], names: list[str], few: int = 200) -> DataFrame:
-    """Ensemble score of every entity; below `few` rows only the forest and the tails have a say."""
+def detect(features: DataFrame, keys: list[str], names: list[str], few: int = 200, paths: DataFrame | None = None, address: str = "src_ip") -> DataFrame:
+    """Ensemble score of every entity; below `few` rows only the forest, the tails and the paths have a say.
+
+    paths (id, score): the rare-path score of addresses; an entity has that of its address, 0 without one.
+    """
     parts = {"isolation_forest": isolation_forest(features, keys, names), "ecod": ecod(features, keys, names)}
+    if paths is not None:
+        own = features.select(*keys).join(paths.select(F.col("id").alias(address), "score"), address, "left")
+        parts["graph_rare_path"] = own.select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
     if features.limit(few).count() >= few:
         parts["density"] = density(features, keys, names)
         parts["reconstruction"] = reconstruction(features, keys, names)

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
-from ..lineage import saved
-from .ranks import percentiles
 
 
 def column(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -131,37 +129,6 @@ def edge_rarity(logs: DataFrame) -> DataFrame:
     return each.join(F.broadcast(total)).withColumn("probability", p).withColumn("rarity", -F.log(p)).drop("total")
 
 
-def rare_path_scores(rarity: DataFrame, length: int = 5, percentile: float = 0.95, top: int = 10, least: float = 5.0, fallback: int = 100) -> DataFrame:
-    """(id, score): mean rarity of the rarest paths through each node; 0 for nodes without any.
-
-    Paths of 2 to `length` edges start at nodes of degree 2 to 1000 with a rare edge; where there are
-    none, at the `fallback` nodes of the highest degree.
-    """
-    edges = saved(rarity.select("src", "dst", F.round("rarity", 9).alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w")))
-    ends = edges.select(F.col("src").alias("id"), "w").unionByName(edges.select(F.col("dst").alias("id"), "w"))
-    nodes = ends.groupBy("id").agg(F.count("*").alias("d"), F.max("w").alias("w"))
-    seeds = nodes.filter((F.col("d").between(2, 1000)) & (F.col("w") > least))
-    if seeds.isEmpty():
-        seeds = nodes.orderBy(F.desc("d"), "id").limit(fallback)
-    paths = seeds.select(F.array("id").alias("path"), F.lit(0.0).alias("w"))
-    all_paths = None
-    for hop in range(1, length + 1):
-        e = edges.select(F.col("src").alias("at"), "dst", F.col("w").alias("step"))
-        paths = paths.withColumn("at", F.element_at("path", -1)).join(e, "at").filter(~F.array_contains("path", F.col("dst")))
-        paths = paths.select(F.concat("path", F.array("dst")).alias("path"), (F.col("w") + F.col("step")).alias("w"))
-        best = Window.partitionBy(F.element_at("path", 1), F.element_at("path", -1)).orderBy(F.desc("w"), "path")
-        paths = saved(paths.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r"))
-        if hop >= 2:
-            part = paths.select("path", (F.col("w") / hop).alias("mean"))
-            all_paths = part if all_paths is None else all_paths.unionByName(part)
-    cut = percentiles(all_paths, "mean", {"cut": percentile}).select("cut")
-    kept = all_paths.join(F.broadcast(cut)).filter("mean >= cut")
-    each = kept.select(F.explode("path").alias("id"), "mean", "path")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("mean"), "path"))
-    scores = each.withColumn("place", place).filter(F.col("place") <= top).groupBy("id").agg(F.avg("mean").alias("score"))
-    return nodes.select("id").join(scores, "id", "left").fillna(0.0, ["score"])
-
-
 def peers(edges: DataFrame, top: int = 20) -> DataFrame:
     """Per entity its busiest peers: id, direction, peer, events, place."""
     out = edges.select(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("peer"), "event_count")

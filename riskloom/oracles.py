@@ -181,6 +181,31 @@ LATERAL = f"""two AS (
   ORDER BY risk DESC, s, p, t, bt LIMIT 50)"""
 LATERAL_OUT = f"'lateral_movement' AS chain_type, s || ':source,' || p || ':pivot,' || t || ':target' AS nodes, s || '>auth>' || p || ',' || p || '>' || bt || '>' || t AS edges, {num('risk', 'total_risk_score')}, f AS first_seen, l AS last_seen, s || ',' || p || ',' || t AS affected_assets"
 sql("chain_lateral", NODES, EDGES, RISKS, LATERAL, select=f" SELECT {LATERAL_OUT} FROM two")
+PATHS = """rw AS (
+  SELECT src, dst, max(round(-ln(n / total), 9)) AS w FROM (
+    SELECT src_ip AS src, dst_ip AS dst, count(*) AS n, sum(count(*)) OVER () AS total FROM netlog WHERE src_ip <> '' AND dst_ip <> '' GROUP BY src_ip, dst_ip, event_type)
+  WHERE src <> dst GROUP BY src, dst),
+rn AS (SELECT id, count(*) AS d, max(w) AS w FROM (SELECT src AS id, w FROM rw UNION ALL SELECT dst, w FROM rw) GROUP BY id),
+p1 AS (SELECT src AS a, dst AS b, rw.w FROM rn JOIN rw ON id = src WHERE d BETWEEN 2 AND 1000 AND rn.w > 5),
+p2 AS (SELECT a, b, dst AS c, p1.w + rw.w AS w FROM p1 JOIN rw ON src = b WHERE dst <> a),
+p3 AS (SELECT a, b, c, dst AS d, p2.w + rw.w AS w FROM p2 JOIN rw ON src = c WHERE dst <> a AND dst <> b),
+pm AS (SELECT a, b, c, NULL AS d, round(w / 2, 9) AS mean FROM p2 UNION ALL SELECT a, b, c, d, round(w / 3, 9) FROM p3),
+cut AS (SELECT quantile_cont(mean, 0.25) AS cut FROM (SELECT max(mean) AS mean FROM pm GROUP BY coalesce(d, c), d IS NULL)),
+pk AS (SELECT pm.* FROM pm, cut WHERE mean >= cut),
+pn AS (
+  SELECT a AS id, max(mean, 10) AS m FROM pk GROUP BY a UNION ALL SELECT b, max(mean, 10) FROM pk GROUP BY b
+  UNION ALL SELECT c, max(mean, 10) FROM pk GROUP BY c UNION ALL SELECT d, max(mean, 10) FROM pk WHERE d IS NOT NULL GROUP BY d),
+pt AS (SELECT id, list_sort(flatten(list(m)), 'DESC')[1:10] AS m FROM pn GROUP BY id)"""
+sql(
+    "graph_rare_path_means", PATHS,
+    select=f" SELECT id, coalesce(len(m), 0)::INTEGER AS n, coalesce(array_to_string(list_transform(m, lambda x: printf('%.4f', x)), ';'), '') AS means, {num('coalesce(list_avg(m), 0)', 'score', 5)} FROM rn LEFT JOIN pt USING (id)",
+)
+sql(
+    "graph_paths_of_address", PATHS,
+    "ev AS (SELECT id FROM (SELECT event_id, src_ip AS id FROM netlog UNION SELECT event_id, dst_ip FROM netlog) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1)",
+    "ps AS (SELECT id, unnest(m) AS mean, generate_subscripts(m, 1) AS place FROM pt JOIN ev USING (id))",
+    select=f" SELECT id, place::INTEGER AS place, {num('mean', 'mean', 5)} FROM ps",
+)
 HOP = """h{n} AS (
   SELECT * FROM (SELECT h.seed, e.dst AS cur, list_append(h.path, e.dst) AS path, list_append(h.types, e.edge_type) AS types, list_append(h.risks, e.dr) AS risks, round(h.rarity + round(-ln(greatest(e.freq, 1e-6)), 9), 9) AS rarity
     FROM h{m} h JOIN er e ON h.cur = e.src WHERE NOT list_contains(h.path, e.dst))

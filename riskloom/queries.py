@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import net, text
 from .lineage import saved
-from .operators import chains, detectors, dga, evaluation, features, graph, intel, risk
+from .operators import chains, detectors, dga, evaluation, features, graph, intel, paths, risk
 from .plans import pipeline
 from .sources import dns, etw, syslog, waf
 from .sources.netlog import netlog
@@ -211,7 +211,27 @@ def graph_edge_rarity(spark, d):
 
 @query
 def graph_rare_path_scores(spark, d):
-    return rounded(graph.rare_path_scores(graph.edge_rarity(netlog(spark, d))))
+    return rounded(paths.path_scores(paths.rarest_paths(graph.edge_rarity(netlog(spark, d)))))
+
+
+def short_paths(spark, d):
+    """The rarest paths of two and three edges through every address, at a cut that leaves some out."""
+    return paths.rarest_paths(graph.edge_rarity(netlog(spark, d)), length=3, percentile=0.25)
+
+
+@query
+def graph_rare_path_means(spark, d):
+    found = short_paths(spark, d)
+    means = F.array_join(F.transform("paths", lambda x: F.format_number(x["mean"], 4)), ";").alias("means")
+    return rounded(found.select("id", F.size("paths").alias("n"), means).join(paths.path_scores(found), "id"), 5)
+
+
+@query
+def graph_paths_of_address(spark, d):
+    logs = netlog(spark, d)
+    busiest = graph.build_nodes(logs).filter("entity_type = 'ip'").orderBy(F.desc("total_events"), "id").first().id
+    found = paths.paths_of(short_paths(spark, d), busiest)
+    return rounded(found.select(F.lit(busiest).alias("id"), "place", "mean"), 5)
 
 
 @query
