@@ -84,38 +84,67 @@ def edge(prefix: str = "") -> Column:
     return F.struct(c("src").alias("src"), c("dst").alias("dst"), c("edge_type").alias("edge_type"), c("event_count").alias("event_count"))
 
 
-def rare_paths(nodes: DataFrame, edges: DataFrame, found: DataFrame, n_seeds: int = 40, least: int = 2, most: int = 3, cut: float = 0.65, risk_cut: float = 0.50, per_seed: int = 10) -> DataFrame:
-    """Paths of rare edges from the riskiest seeds: seed, path, links, first_seen, last_seen, score, max_risk.
+def rare_paths(nodes: DataFrame, edges: DataFrame, found: DataFrame, n_seeds: int = 40, least: int = 2, most: int = 3, cut: float = 0.65, risk_cut: float = 0.50, per_seed: int = 10, beam: int = 200) -> DataFrame:
+    """The `per_seed` best simple paths of rare edges from each of the riskiest seeds: seed, path, links, since, until, rarity, score, max_risk, place.
 
-    After each hop the rarest path to every (seed, node) stays, so work is bounded by seeds times nodes.
+    A path of least to most edges scores 0.7 min(mean rarity / 8, 1) + 0.3 mean risk of its nodes. Exact: a first search follows
+    the `beam` most promising paths of a seed after each hop, and the last place it finds is a bar. The second follows every
+    path that can still reach its seed's bar (or the cut, where that is higher): a path can gain no more than the rarest edge and the
+    riskiest node next to where it stands, then those of the whole graph. So no path is lost, and few are followed.
     """
     risk = nodes.select(F.col("id").alias("dst"), F.col("risk_score").alias("dst_risk"))
     w = F.round(-F.log(F.greatest("freq", F.lit(1e-6))), 9)
     steps = edges.select("src", "dst", "edge_type", "event_count", "first_seen", "last_seen", w.alias("w"))
-    steps = steps.join(risk, "dst").withColumnRenamed("src", "at")
-    paths = best_seeds(found, n_seeds).select(
+    steps = saved(steps.join(risk, "dst").withColumnRenamed("src", "at"))
+    ahead = steps.groupBy("at").agg(F.max("w").alias("next_w"), F.max("dst_risk").alias("next_risk"))
+    ahead = saved(ahead.join(F.broadcast(steps.agg(F.max("w").alias("any_w"), F.max("dst_risk").alias("any_risk")))))
+    start = saved(best_seeds(found, n_seeds).select(
         F.col("id").alias("seed"), F.col("id").alias("at"), F.array("id").alias("path"), F.array().cast(f"array<{EDGE}>").alias("links"), F.array("risk_score").alias("risks"),
         F.lit(0.0).alias("rarity"), F.lit(None).cast("bigint").alias("since"), F.lit(None).cast("bigint").alias("until"),
-    )
-    out = None
-    for hop in range(1, most + 1):
-        grown = paths.join(steps, "at").filter(~F.array_contains("path", F.col("dst")))
-        link = F.struct(F.col("at").alias("src"), "dst", "edge_type", "event_count")
-        paths = grown.select(
-            "seed", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("links", F.array(link)).alias("links"),
-            F.concat("risks", F.array("dst_risk")).alias("risks"), F.round(F.col("rarity") + F.col("w"), 9).alias("rarity"),
-            F.least("since", "first_seen").alias("since"), F.greatest("until", "last_seen").alias("until"),
-        )
-        order = Window.partitionBy("seed", "at").orderBy(F.desc("rarity"), "path", F.transform("links", lambda e: e["edge_type"]))
-        paths = saved(paths.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r"))
-        if hop >= least:
-            mean_risk = F.aggregate("risks", F.lit(0.0), lambda a, x: a + x) / F.size("risks")
-            score = 0.7 * F.least(F.col("rarity") / hop / 8, F.lit(1.0)) + 0.3 * mean_risk
-            part = paths.withColumn("score", F.round(score, 9)).withColumn("max_risk", F.array_max("risks"))
-            out = part if out is None else out.unionByName(part)
-    out = out.filter((F.col("score") >= cut) & (F.col("max_risk") >= risk_cut))
-    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "path"))
-    return out.withColumn("place", place).filter(F.col("place") <= per_seed)
+    ))
+    total = F.aggregate("risks", F.lit(0.0), lambda a, x: a + x)
+    types = F.transform("links", lambda e: e["edge_type"])
+
+    def score_of(rarity: Column, risks: Column, hops: int) -> Column:
+        return 0.7 * F.least(rarity / hops / 8, F.lit(1.0)) + 0.3 * risks / (hops + 1)
+
+    def promise(hop: int) -> Column:
+        """The most that a path of `hop` edges can score after one more edge or several."""
+        more = [h - hop - 1 for h in range(max(least, hop + 1), most + 1)]
+        ends = [score_of(F.col("rarity") + F.col("next_w") + m * F.col("any_w"), total + F.col("next_risk") + m * F.col("any_risk"), hop + 1 + m) for m in more]
+        return F.greatest(*ends) if len(ends) > 1 else ends[0]
+
+    def search(bars: DataFrame | None) -> DataFrame:
+        """Finished paths: of the most promising ones of each seed, or of all that can reach its bar."""
+        paths, out = start, None
+        for hop in range(1, most + 1):
+            near = paths.join(ahead, "at").withColumn("promise", promise(hop - 1))
+            if bars is None:
+                order = Window.partitionBy("seed").orderBy(F.desc("promise"), F.xxhash64("path", types))
+                near = near.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= beam).drop("r")
+            else:
+                near = near.join(F.broadcast(bars), "seed").filter(F.col("promise") >= F.col("bar") - 1e-8)  # a row for each seed
+            grown = near.select(paths.columns).join(steps, "at").filter(~F.array_contains("path", F.col("dst")))
+            link = F.struct(F.col("at").alias("src"), "dst", "edge_type", "event_count")
+            paths = grown.select(
+                "seed", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("links", F.array(link)).alias("links"),
+                F.concat("risks", F.array("dst_risk")).alias("risks"), F.round(F.col("rarity") + F.col("w"), 9).alias("rarity"),
+                F.least("since", "first_seen").alias("since"), F.greatest("until", "last_seen").alias("until"),
+            )
+            done = paths.withColumn("score", F.round(score_of(F.col("rarity"), total, hop), 9)).withColumn("max_risk", F.array_max("risks"))
+            done = done.filter((F.col("score") >= cut) & (F.col("max_risk") >= risk_cut))
+            if bars is not None:
+                done = done.join(F.broadcast(bars), "seed").filter(F.col("score") >= F.col("bar") - 1e-8).drop("bar")
+            if hop < most:
+                paths = saved(paths)
+            if hop >= least:
+                out = done if out is None else out.unionByName(done)
+        place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "path", types))
+        return saved(out.withColumn("place", place).filter(F.col("place") <= per_seed))
+
+    last = search(None).filter(F.col("place") == per_seed).select("seed", F.col("score").alias("last"))
+    bars = saved(start.select("seed").join(last, "seed", "left").select("seed", F.greatest(F.coalesce("last", F.lit(cut)), F.lit(cut)).alias("bar")))
+    return search(bars)
 
 
 def path_type(nodes: Column, links: Column, out_degree: Column, ports: Column) -> Column:

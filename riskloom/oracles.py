@@ -207,16 +207,18 @@ sql(
     select=f" SELECT id, place::INTEGER AS place, {num('mean', 'mean', 5)} FROM ps",
 )
 HOP = """h{n} AS (
-  SELECT * FROM (SELECT h.seed, e.dst AS cur, list_append(h.path, e.dst) AS path, list_append(h.types, e.edge_type) AS types, list_append(h.risks, e.dr) AS risks, round(h.rarity + round(-ln(greatest(e.freq, 1e-6)), 9), 9) AS rarity
-    FROM h{m} h JOIN er e ON h.cur = e.src WHERE NOT list_contains(h.path, e.dst))
-  QUALIFY row_number() OVER (PARTITION BY seed, cur ORDER BY rarity DESC, path, types) = 1)"""
-sql(
-    "chain_rare_paths", NODES, EDGES, DEG, SEEDS, RISKS,
-    "h0 AS (SELECT id AS seed, id AS cur, [id] AS path, CAST([] AS VARCHAR[]) AS types, [risk_score] AS risks, CAST(0.0 AS DOUBLE) AS rarity FROM seeds ORDER BY risk_score DESC, id LIMIT 40)",
+  SELECT h.seed, e.dst AS cur, list_append(h.path, e.dst) AS path, list_append(h.types, e.edge_type) AS types, h.risk + e.dr AS risk, greatest(h.most, e.dr) AS most, round(h.rarity + e.w, 9) AS rarity
+  FROM h{m} h JOIN es e ON h.cur = e.src WHERE NOT list_contains(h.path, e.dst))"""
+RARE = ", ".join([
+    "es AS (SELECT src, dst, edge_type, dr, round(-ln(greatest(freq, 1e-6)), 9) AS w FROM er)",
+    "h0 AS (SELECT id AS seed, id AS cur, [id] AS path, CAST([] AS VARCHAR[]) AS types, risk_score AS risk, risk_score AS most, CAST(0.0 AS DOUBLE) AS rarity FROM seeds ORDER BY risk_score DESC, id LIMIT 40)",
     HOP.format(n=1, m=0), HOP.format(n=2, m=1), HOP.format(n=3, m=2),
-    "sc AS (SELECT seed, path, rarity, round(0.7 * least(rarity / k / 8, 1.0) + 0.3 * list_sum(risks) / len(risks), 9) AS score, list_max(risks) AS max_risk FROM (SELECT *, 2 AS k FROM h2 UNION ALL SELECT *, 3 FROM h3))",
-    "pl AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, path) AS place FROM sc WHERE score >= 0.30 AND max_risk >= 0.5)",
-    select=f" SELECT seed, array_to_string(path, ',') AS path, {num('rarity', 'rarity')}, {num('score', 'score')}, {num('max_risk', 'max_risk')}, CAST(place AS INTEGER) AS place FROM pl WHERE place <= 10",
+    "sc AS (SELECT seed, path, types, rarity, round(0.7 * least(rarity / k / 8, 1.0) + 0.3 * risk / (k + 1), 9) AS score, most AS max_risk FROM (SELECT *, 2 AS k FROM h2 UNION ALL SELECT *, 3 FROM h3))",
+    "pl AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, path, types) AS place FROM sc WHERE score >= 0.30 AND max_risk >= 0.5 QUALIFY place <= 10)",
+])
+sql(
+    "chain_rare_paths", NODES, EDGES, DEG, SEEDS, RISKS, RARE,
+    select=f" SELECT seed, array_to_string(path, ',') AS path, {num('rarity', 'rarity')}, {num('score', 'score')}, {num('max_risk', 'max_risk')}, CAST(place AS INTEGER) AS place FROM pl",
 )
 sql("mitre_coverage", NODES, EDGES, RISKS, SCANS, select=" SELECT t AS technique, (SELECT count(*) FROM scan) AS chains FROM (VALUES ('T1046'), ('T1595')) v(t) WHERE (SELECT count(*) FROM scan) > 0")
 

@@ -1,10 +1,12 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import net, text
-from riskloom.operators import chains, detectors, evaluation, features, graph, intel, ranks, risk
+from riskloom.operators import chains, detectors, evaluation, features, graph, intel, paths, ranks, risk
 from riskloom.streaming import state
 
 LOG = "event_id long, src_ip string, dst_ip string, dst_port int, proto string, event_type string, ts_ms long, bytes_out long, bytes_in long, user string, domain string, dns_rcode string, waf_rule_id string, severity int"
@@ -94,14 +96,73 @@ def test_rare_path_scores_follow_every_edge(spark):
     """A path of five edges, the last of them less rare than 25 others out of its node; nodes without paths; no rare edge."""
     names = "src string, dst string, rarity double"
     rows = [("g", "a", 9.0), ("a", "b", 9.0), ("b", "c", 9.0), ("c", "d", 9.0), ("d", "e", 9.0), ("e", "f", 8.0)] + [("e", f"x{i:02}", 8.5) for i in range(25)] + [("y", "z", 1.0)]
-    got = {r.id: r.score for r in graph.rare_path_scores(spark.createDataFrame(rows, names), percentile=0.0).collect()}
+    got = {r.id: r.score for r in paths.path_scores(paths.rarest_paths(spark.createDataFrame(rows, names), percentile=0.0)).collect()}
     assert set(got) == {*"abcdefgyz"} | {f"x{i:02}" for i in range(25)}
     assert got["f"] == pytest.approx(sum((9 * n + 8) / (n + 1) for n in (1, 2, 3, 4)) / 4)
     assert got["g"] == got["y"] == got["z"] == 0
-    got = {r.id: r.score for r in graph.rare_path_scores(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], names)).collect()}
+    got = {r.id: r.score for r in paths.path_scores(paths.rarest_paths(spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0)], names))).collect()}
     assert got == {"a": 1.5, "b": 1.5, "c": 1.5}
 
 
+def all_paths(edges, seeds, least, most):
+    """Every simple path by depth-first search: (nodes, indexes of its edges)."""
+    out, stack = [], [((s,), ()) for s in seeds]
+    while stack:
+        nodes, used = stack.pop()
+        if len(used) >= least:
+            out.append((nodes, used))
+        if len(used) < most:
+            stack += [((*nodes, e[1]), (*used, i)) for i, e in enumerate(edges) if e[0] == nodes[-1] and e[1] not in nodes]
+    return out
+
+
+@pytest.mark.parametrize(("seed", "k"), [(0, 1), (1, None)])
+def test_rarest_paths_equal_all_paths(spark, seed, k):
+    """Random graphs with ties, loops and double edges; with one label a node at first the search must begin again."""
+    rng = random.Random(seed)
+    rows = [(f"n{rng.randrange(8)}", f"n{rng.randrange(8)}", rng.choice([rng.random() * 9, float(rng.randint(1, 4))])) for _ in range(20)]
+    df = spark.createDataFrame(rows, "src string, dst string, rarity double")
+    found = paths.rarest_paths(df, length=4, percentile=0.4, top=3, least=2.0, k=k)
+    got = {r.id: [x.mean for x in r.paths] for r in found.collect()}
+    best = {}
+    for s, d, w in rows:
+        if s != d:
+            best[s, d] = max(best.get((s, d), 0.0), w)
+    edges = [(s, d, w) for (s, d), w in best.items()]
+    ends = {n: [e[2] for e in edges if n in e[:2]] for n in {x for e in edges for x in e[:2]}}
+    every = [(sum(edges[i][2] for i in used) / len(used), nodes) for nodes, used in all_paths(edges, [n for n, w in ends.items() if len(w) >= 2 and max(w) > 2], 2, 4)]
+    last = {}
+    for mean, nodes in every:
+        last[nodes[-1], len(nodes)] = max(last.get((nodes[-1], len(nodes)), 0.0), mean)
+    cut = np.percentile(list(last.values()), 40)
+    assert got == {n: pytest.approx(sorted((m for m, p in every if n in p and m >= cut - 1e-8), reverse=True)[:3]) for n in ends}
+    some = max(got, key=lambda n: len(got[n]))
+    assert [(r.place, r.mean) for r in paths.paths_of(found, some).collect()] == list(enumerate(got[some], 1))
+    assert all(some in r.path for r in paths.paths_of(found, some).collect()) and paths.paths_of(found, "nobody").count() == 0
+
+
+def test_rare_chain_paths_equal_all_paths(spark):
+    """A beam of one path finds a low bar; the second search still finds every path of the first places."""
+    rng = random.Random(5)
+    edges = [(f"10.0.0.{rng.randrange(9)}", f"10.0.0.{rng.randrange(9)}", rng.choice(["network", "auth"]), rng.choice([1, 1, 2, 5, 40])) for _ in range(40)]
+    edges = [e for i, e in enumerate(edges) if e[0] != e[1] and e[:3] not in [x[:3] for x in edges[:i]]]
+    risks = {f"10.0.0.{i}": rng.choice([0.2, 0.6, 0.61, 0.9]) for i in range(9)}
+    n, e = scored(spark, edges, risks)
+    found = n.select("id", "risk_score")
+    got = chains.rare_paths(n, chains.edge_frequency(e), found, n_seeds=5, cut=0.2, risk_cut=0.6, per_seed=4, beam=1)
+    got = [(r.seed, r.place, tuple(r.path), tuple(x.edge_type for x in r.links), r.score) for r in got.collect()]
+    want = []
+    for s in sorted(risks, key=lambda i: (-risks[i], i))[:5]:
+        own = []
+        for nodes, used in all_paths(edges, [s], 2, 3):
+            mean = sum(-math.log(edges[i][3] / max(x[3] for x in edges)) for i in used) / len(used)
+            score = 0.7 * min(mean / 8, 1) + 0.3 * sum(risks[x] for x in nodes) / len(nodes)
+            if score >= 0.2 and max(risks[x] for x in nodes) >= 0.6:
+                own.append((-round(score, 9), nodes, tuple(edges[i][2] for i in used)))
+        want += [(s, i + 1, p, t, pytest.approx(-score)) for i, (score, p, t) in enumerate(sorted(own)[:4])]
+    assert sorted(got) == sorted(want, key=lambda x: x[:2])
+
+
 def test_contained_chains_go(spark):
     def c(i, who, risk):
         return (i, "x", [(w, "source", 0.0) for w in who], [], risk, risk, 0, 0, list(who))
