@@ -1,19 +1,21 @@
 """The graph and risk as durable state, and streams over unified records.
 
-State tables are versioned folders: a batch writes the next version from the last and itself, and a
-batch that is run again finds its version there. Merges are associative (sum, min, max, union).
+Graph and baseline are kept in a StateStore; merges are associative (sum, min, max, union). Running risk is the state of the
+stream itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.graph import build_edges, build_nodes
+from .store import StateStore, Table, query_id
 
 
 def merge_nodes(old: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -27,51 +29,70 @@ def merge_edges(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst", "edge_type").agg(F.sum("event_count").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), union("ports"), union("protocols"))
 
 
-class StateStore:
-    """Versions of named tables below a folder that the cluster shares."""
+def merge_targets(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("src_ip", "dst_ip").agg(F.min("first_seen").alias("first_seen"), F.sum("events").alias("events"))
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+#: The graph, and who has talked to whom.
+TABLES = {
+    "nodes": Table(("id",), lambda rows: merge_nodes(None, rows)),
+    "edges": Table(("src", "dst", "edge_type"), lambda rows: merge_edges(None, rows)),
+    "targets": Table(("src_ip", "dst_ip"), merge_targets),
+}
 
-    def versions(self, name: str) -> list[int]:
-        fs, path = self._fs()
-        root = path(f"{self.path}/{name}")
-        if not fs.exists(root):
-            return []
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done)
 
-    def read(self, name: str, version: int | None = None) -> DataFrame | None:
-        found = self.versions(name)
-        at = (max(found) if found else None) if version is None else version
-        return self.spark.read.parquet(f"{self.path}/{name}/v{at}") if at in found else None
+def graph_store(spark: SparkSession, path: str, buckets: int = 64) -> StateStore:
+    return StateStore(spark, path, TABLES, buckets)
 
-    def write(self, name: str, version: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
 
-    def merge(self, name: str, version: int, new: DataFrame, merge) -> None:
-        """Write version from the one before and new; a version that is there stays as it is."""
-        found = self.versions(name)
-        if version in found:
-            return
-        before = max((v for v in found if v < version), default=None)
-        self.write(name, version, merge(None if before is None else self.read(name, before), new))
-
-
-def merge_window(store: StateStore, logs: DataFrame, version: int) -> None:
+def merge_window(store: StateStore, logs: DataFrame, writer: str, batch: int) -> None:
     """Merge a window's graph into the state."""
-    store.merge("nodes", version, build_nodes(logs), merge_nodes)
-    store.merge("edges", version, build_edges(logs), merge_edges)
+    store.append("nodes", writer, batch, build_nodes(logs))
+    store.append("edges", writer, batch, build_edges(logs))
 
 
-def stream_into_state(logs: DataFrame, store: StateStore, checkpoint: str):
+def stream_into_state(logs: DataFrame, store: StateStore, checkpoint: str, most_deltas: int = 16):
     """A query that merges every micro-batch of streaming logs into the state."""
-    return logs.writeStream.foreachBatch(lambda df, n: merge_window(store, df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def each(batch: DataFrame, n: int) -> None:
+        merge_window(store, batch, query_id(store.spark, checkpoint), n)
+        for name in ("nodes", "edges"):
+            store.compact_when(name, most_deltas)
+
+    return logs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def targets_of(logs: DataFrame) -> DataFrame:
+    rows = logs.filter("src_ip <> '' and dst_ip <> ''")
+    return rows.select("src_ip", "dst_ip", F.col("ts_ms").alias("first_seen"), F.lit(1).cast("bigint").alias("events"))
+
+
+def with_novelty(logs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """logs with new_target: whether the source has not talked to the target in the baseline known (src_ip, dst_ip)."""
+    has = F.col("src_ip").isNotNull() & (F.col("src_ip") != "") & F.col("dst_ip").isNotNull() & (F.col("dst_ip") != "")
+    if known is None:
+        return logs.withColumn("new_target", has)
+    out = logs.join(known.select("src_ip", "dst_ip", F.lit(True).alias("_known")), ["src_ip", "dst_ip"], "left")
+    return out.withColumn("new_target", has & F.col("_known").isNull()).drop("_known").select(*logs.columns, "new_target")
+
+
+def novelty_stream(logs: DataFrame, store: StateStore, checkpoint: str, sink: Callable[[DataFrame, int], None], most_deltas: int = 16):
+    """A query that tells targets that are new to their source, against a baseline that grows with every batch.
+
+    A batch is held against the buckets of the baseline that its own keys are in, handed to sink(rows, batch), and then joins
+    the baseline: a target is new in the first batch that has it, in all of its rows there. A batch that runs again is
+    held against the baseline without itself.
+    """
+
+    def each(batch: DataFrame, n: int) -> None:
+        writer = query_id(store.spark, checkpoint)
+        if (writer, n) in store.deltas("targets"):  # it ran before and did not finish
+            store.append("targets", writer, n, targets_of(batch.limit(0)))
+        sink(with_novelty(batch, store.read_for("targets", targets_of(batch))), n)
+        store.append("targets", writer, n, targets_of(batch))
+        store.compact_when("targets", most_deltas)
+
+    return logs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling_counts(logs: DataFrame, duration: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -95,17 +116,73 @@ def sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "10 minutes")
     return out.select("src_ip", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
 
-def risk_stream(scores: DataFrame, half_life_hours: float = 24.0) -> DataFrame:
-    """Running risk of each entity over a stream (entity_id, ts_ms, score): decays between, adds what comes."""
-    half = half_life_hours * 3_600_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score, at = state.get if state.exists else (0.0, 0)
-        for b in batches:
-            for ts, s in b.sort_values("ts_ms")[["ts_ms", "score"]].itertuples(index=False):
-                score = score * 0.5 ** (max(0, ts - at) / half) + max(0.0, s) if at else max(0.0, s)
-                at = max(at, int(ts))
-        state.update((score, at))
-        yield pd.DataFrame({"entity_id": [key[0]], "score": [score], "last_updated": [at]})
-
-    return scores.groupBy("entity_id").applyInPandasWithState(step, "entity_id string, score double, last_updated bigint", "score double, at bigint", "update", GroupStateTimeout.NoTimeout)
+class DecayingRisk(StatefulProcessor):
+    """Value state (score, at) for each entity: the sum of its scores, each halved every half-life up to the time `at` of the newest.
+
+    The sum doesn't depend on the order of rows, so late ones that the watermark still lets in count in full. An event-time
+    timer stands where the score will have decayed below `least`: then the entity leaves, with a row that says so.
+    """
+
+    def __init__(self, half_ms: float, least: float):
+        self.half_ms, self.least = half_ms, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("risk", "score double, at bigint")
+
+    def keep(self, score: float, at: int) -> None:
+        self.state.update((score, at))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at + int(np.ceil(self.half_ms * max(0.0, np.log2(max(score, self.least) / self.least)))) + 1)
+
+    def row(self, key, score: float, at: int, left: bool) -> pd.DataFrame:
+        return pd.DataFrame({"entity_id": [key[0]], "score": [score], "last_updated": [at], "left": [left]})
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        at = int(initialState["last_updated"].max())
+        age = (at - initialState["last_updated"]).to_numpy(float)
+        self.keep(float((initialState["score"].to_numpy(float) * 0.5 ** (age / self.half_ms)).sum()), at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        score, at = self.state.get() if self.state.exists() else (0.0, None)
+        for b in rows:
+            ts = b["timestamp"].astype("datetime64[ms]").astype("int64").to_numpy()
+            new = int(ts.max()) if at is None else max(at, int(ts.max()))
+            score = score * 0.5 ** ((new - at) / self.half_ms) if at is not None else 0.0
+            score += float((np.maximum(b["score"].fillna(0).to_numpy(float), 0) * 0.5 ** ((new - ts) / self.half_ms)).sum())
+            at = new
+        self.keep(score, at)
+        yield self.row(key, score, at, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        score, at = self.state.get()
+        now = int(expiredTimerInfo.getExpiryTimeInMs())
+        self.state.clear()
+        yield self.row(key, score * 0.5 ** ((now - at) / self.half_ms), now, True)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def risk_stream(scores: DataFrame, half_life_hours: float = 24.0, late: str = "1 hour", least: float = 0.01, profiles: DataFrame | None = None) -> DataFrame:
+    """Running risk of each entity over a stream (entity_id, timestamp, score): entity_id, score, last_updated, left.
+
+    profiles (entity_id, score, last_updated): risk from a batch that the stream begins with. The session's
+    spark.sql.streaming.stateStore.providerClass must be RocksDB's.
+    """
+    spark = scores.sparkSession
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider"):
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKS}")
+    rows = scores.select("entity_id", "timestamp", "score").withWatermark("timestamp", late).groupBy("entity_id")
+    initial = profiles.select("entity_id", "score", "last_updated").groupBy("entity_id") if profiles is not None else None
+    out = "entity_id string, score double, last_updated bigint, left boolean"
+    return rows.transformWithStateInPandas(DecayingRisk(half_life_hours * 3_600_000, least), out, "Update", "EventTime", initial)
+
+
+def risk_batch(scores: DataFrame, half_life_hours: float = 24.0) -> DataFrame:
+    """The same of rows that are all there: entity_id, score, last_updated."""
+    at = scores.groupBy("entity_id").agg(F.max("timestamp").alias("at"))
+    age = F.unix_millis("at") - F.unix_millis("timestamp")
+    points = F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)) * F.pow(F.lit(0.5), age / (half_life_hours * 3_600_000))
+    return scores.join(at, "entity_id").groupBy("entity_id").agg(F.sum(points).alias("score"), F.unix_millis(F.max("at")).alias("last_updated"))

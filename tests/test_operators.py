@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import net, text
 from riskloom.operators import chains, detectors, evaluation, features, graph, intel, paths, ranks, risk
-from riskloom.streaming import state
 
 LOG = "event_id long, src_ip string, dst_ip string, dst_port int, proto string, event_type string, ts_ms long, bytes_out long, bytes_in long, user string, domain string, dns_rcode string, waf_rule_id string, severity int"
 
@@ -216,22 +215,6 @@ def test_risk_decays_and_adds(spark):
     assert risk.score_at(old, "nobody", 5).first().score == 0
 
 
-def test_state_versions_and_stream(spark, tmp_path, sf_dir):
-    from riskloom.sources.netlog import netlog
-
-    all_logs = netlog(spark, sf_dir)
-    all_logs.repartition(3).write.parquet(str(tmp_path / "logs"))
-    stream = spark.readStream.schema(all_logs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "logs"))
-    store = state.StateStore(spark, str(tmp_path / "state"))
-    state.stream_into_state(stream, store, str(tmp_path / "cp")).awaitTermination()
-    assert store.versions("edges") == [0, 1, 2]
-    got = store.read("edges").agg(F.count("*"), F.sum("event_count")).first()
-    want = graph.build_edges(all_logs).agg(F.count("*"), F.sum("event_count")).first()
-    assert tuple(got) == tuple(want)
-    state.merge_window(store, all_logs, 2)  # a version that is there stays
-    assert store.read("nodes").agg(F.sum("total_events")).first()[0] == graph.build_nodes(all_logs).agg(F.sum("total_events")).first()[0]
-
-
 def test_ranks_and_percentiles(spark):
     """Running sums over many partitions, ties, one value alone, no rows, nulls."""
     values = [1.5, 2.0, 2.0, -3.0, 7.25, 2.0, 9.0, 9.0, 0.0, None, *[float(i % 37) / 4 for i in range(400)]]
