@@ -16,7 +16,10 @@ documents.
    bytes are the repeated windows.
 
 Null texts are empty. Documents shorter than LENGTH lose nothing. Identical repeated rows count as one
-document and get a row each. A null doc_id comes before all others. Other columns are ignored.
+document and get a row each. Rows of one doc_id with different texts are documents of their own, in the order of a digest
+of their texts, and share no spans. A null doc_id comes before all others. Texts of any length are taken whole, in parts
+that overlap. Ties can't arise: of equal strings the order of documents and places decides. An empty table gives an empty one.
+Other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import only, saved
+from .frames import only, saved, with_text_key
 from .linker import grouped
 from .textkit import BYTE_VALUE, chunks, mix, powers, signed, sliding_least
 
@@ -283,24 +286,35 @@ def kept_bytes(data: bytes, spans) -> tuple[bytes, int, int]:
     return left, len(data) - len(left), n
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, shown, text): shown is the doc_id; doc_id a number for each of its different texts, in the same order."""
+    docs, repeats = with_text_key(docs)
+    if not repeats:
+        return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("doc_id").alias("shown"), "text")
+    order = docs.select(F.col("doc_id").alias("of"), F.col("same").alias("of_same")).distinct().repartitionByRange("of", "of_same").sortWithinPartitions("of", "of_same")
+    order = saved(order.withColumn("number", F.monotonically_increasing_id()))
+    own = docs.join(order, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("same") == F.col("of_same")))
+    return own.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("shown"), "text")
+
+
 def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (binary)."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts  # doc_id as it was
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
 
     def run(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+            for doc, text, spans in zip(*(b.column(c).to_pylist() for c in ("shown", "text", "spans")), strict=True):
                 data = (text or "").encode()
                 left, gone, n = kept_bytes(data, [(s["start"], s["end"]) for s in spans or ()])
-                rows.append((None if doc == NO_ID else doc, len(data), gone, n, hashlib.sha256(left).hexdigest(), left)[: len(names)])
+                rows.append((doc, len(data), gone, n, hashlib.sha256(left).hexdigest(), left)[: len(names)])
             types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types)] if rows else [pa.array([], t) for t in types[: len(names)]], names)
 
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    spans = saved(removed_spans(docs))
+    docs = numbered(docs)
+    spans = saved(removed_spans(docs.select("doc_id", "text")))
     ids = spans.select("doc_id")
-    cut = only(docs, ids, "doc_id").join(spans, "doc_id").select("doc_id", "text", "spans")
+    cut = only(docs, ids, "doc_id").join(spans, "doc_id").select("shown", "text", "spans")
     rest = only(docs, ids, "doc_id", anti=True).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return cut.unionByName(rest.select("doc_id", "text", "spans")).mapInArrow(run, schema)
+    return cut.unionByName(rest.select("shown", "text", "spans")).mapInArrow(run, schema)

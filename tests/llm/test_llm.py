@@ -197,6 +197,29 @@ def test_suffix_dedup(spark):
     assert got == want and sum(v[1] for v in want.values()) > 1000
 
 
+def test_suffix_dedup_of_repeated_and_null_ids(spark):
+    """Different texts of one id are documents of their own; the first occurrence stays, whatever rows share its id."""
+    rng = random.Random(11)
+    a, b, lead = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (260, 240, 150))
+    rows = [(1, a), (1, b), (1, lead + a), (2, b), (3, b), (3, b), (None, lead[:120]), (None, None), (4, ""), (4, "short")]
+    df = spark.createDataFrame([(i, t, 5, "s", 1) for i, t in rows], "doc_id long, text string, number long, shown string, same int")
+    out = [(r.doc_id, r.kept) for r in suffix_dedup.deduplicated(df).collect()]
+    assert len(out) == len(rows)
+    kept = [bytes(k).decode() for _, k in out]
+    assert sum(b in k for k in kept) == 1 and sorted(k for i, k in out if i in (2, 3)) == [b""] * 3
+    assert any(a[:100] in k for k in kept) and any(a[-100:] in k for k in kept)
+    order = spark.createDataFrame([(t,) for _, t in rows[:3]], "t string").selectExpr("t", "xxhash64(t) h").orderBy("h").collect()
+    want, seen = {}, {lead[i : i + 100] for i in range(21)}
+    for r in order:
+        data, mask = r.t, [False] * len(r.t)
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                mask[i : i + 100] = [True] * 100
+            seen.add(data[i : i + 100])
+        want[r.t] = "".join(c for c, m in zip(data, mask, strict=True) if not m)
+    assert sorted(bytes(k).decode() for i, k in out if i == 1) == sorted(want.values())
+
+
 def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdef") for _ in range(9000))
