@@ -117,6 +117,16 @@ def score_tier(score: Column) -> Column:
     return F.when(score > 0.8, "critical").when(score > 0.6, "high").when(score > 0.4, "medium").otherwise("low")
 
 
+def score_colour(score: Column) -> Column:
+    """The scale of colours."""
+    return F.when(score > 0.7, "red").when(score > 0.4, "amber").otherwise("green")
+
+
+def severity_tier(score: Column) -> Column:
+    """The scale of chains' severity."""
+    return F.when(score > 0.9, "critical").when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low")
+
+
 def priority_label(priority: Column) -> Column:
     out = F.lit("UNKNOWN")
     for p, name in enumerate(("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"), 1):

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import saved
+from .autoencoder import autoencoder
+from .density import density_clusters
 from .ranks import percentiles, running
 
 WEIGHTS = {"isolation_forest": 1.0, "graph_rare_path": 1.5, "ecod": 0.9, "density": 0.8, "reconstruction": 1.2}
@@ -211,8 +213,9 @@ def detect(features: DataFrame, keys: list[str], names: list[str], few: int = 20
         own = features.select(*keys).join(paths.select(F.col("id").alias(address), "score"), address, "left")
         parts["graph_rare_path"] = own.select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
     if features.limit(few).count() >= few:
-        parts["density"] = density(features, keys, names)
-        parts["reconstruction"] = reconstruction(features, keys, names)
+        tails = left_tails(features, keys, names).groupBy(*keys).pivot("feature", names).agg(F.first("p"))
+        parts["density"] = density_clusters(tails, keys, names).select(*keys, "score")
+        parts["reconstruction"] = autoencoder(features, keys, names)
     return ensemble(parts, keys)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import truthy
+from ..lineage import saved
 
 
 def column(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -95,19 +96,38 @@ def neighborhood(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFram
     return reached
 
 
+def node_link(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The graph around start (id) as node-link tables, to be written as JSON lines: nodes (id, hops and their columns), links (source, target, key and the edge's columns)."""
+    near = neighborhood(edges, start, depth)
+    links = induced(edges, near).withColumnsRenamed({"src": "source", "dst": "target"}).withColumn("key", F.col("edge_type"))
+    return nodes.join(near, "id"), links
+
+
 def trace_path(edges: DataFrame, source: str, target: str, most: int = 5) -> DataFrame:
-    """(hop, node) of a directed path with the fewest edges, the first by name of those; none beyond `most` edges."""
-    pairs = edges.select("src", "dst").distinct()
-    spark = edges.sparkSession
-    front = spark.range(1).select(F.lit(source).alias("at"), F.array(F.lit(source)).alias("path"))
-    seen, found = front.select("at"), front.filter(F.col("at") == target)
-    for _ in range(most):
-        step = front.join(pairs, front["at"] == pairs["src"]).select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"))
-        front = step.join(seen, "at", "left_anti").groupBy("at").agg(F.min("path").alias("path"))
-        seen = seen.unionByName(front.select("at"))
-        found = found.unionByName(front.filter(F.col("at") == target))
-    best = found.orderBy(F.size("path"), "path").limit(1)
-    return best.select(F.posexplode("path").alias("hop", "node"))
+    """(hop, node) of a directed path with the fewest edges, the first by name of those; none beyond `most` edges.
+
+    Searched from both ends, each hop from the end whose frontier has fewer nodes, until the frontiers meet. A frontier
+    keeps of each node's paths the first by name, is written, and is read by the next hop alone.
+    """
+    pairs = saved(edges.select("src", "dst").distinct())
+    one = edges.sparkSession.range(1)
+    here = {name: saved(one.select(F.lit(at).alias("at"), F.array(F.lit(at)).alias("path"))) for name, at in (("from", source), ("to", target))}
+    seen, count = {k: f.select("at") for k, f in here.items()}, {"from": 1, "to": 1}
+    # paths by name: the forward part in order, then the other part in order, so the first of all is the first of the joined ones
+    met = here["from"].join(here["to"].select("at", F.col("path").alias("rest")), "at")
+    hops = 0
+    while met.isEmpty() and hops < most and min(count.values()):
+        end = min(count, key=count.get)
+        near, far = ("src", "dst") if end == "from" else ("dst", "src")
+        step = here[end].join(pairs.withColumnRenamed(near, "at"), "at")
+        path = F.concat("path", F.array(far)) if end == "from" else F.concat(F.array(far), "path")
+        step = step.select(F.col(far).alias("at"), path.alias("path")).join(seen[end], "at", "left_anti")
+        here[end] = saved(step.groupBy("at").agg(F.min("path").alias("path")))
+        seen[end] = saved(seen[end].unionByName(here[end].select("at")))
+        count[end], hops = here[end].count(), hops + 1
+        met = here["from"].join(here["to"].select("at", F.col("path").alias("rest")), "at")
+    whole = met.select(F.concat("path", F.slice("rest", 2, most + 1)).alias("path"))
+    return whole.orderBy("path").limit(1).select(F.posexplode("path").alias("hop", "node"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -151,6 +151,29 @@ def profile(profiles: DataFrame, edges: DataFrame, entity: str, depth: int = 1)
     return profiles.filter(F.col("entity_id") == entity).join(F.broadcast(n))
 
 
+def neighbors(edges: DataFrame, entity: str, depth: int = 1) -> DataFrame:
+    """(entity_id, neighbor, hops): what links reach from an entity within depth."""
+    start = edges.sparkSession.range(1).select(F.lit(entity).alias("id"))
+    return neighborhood(edges, start, depth).filter("hops > 0").select(F.lit(entity).alias("entity_id"), F.col("id").alias("neighbor"), "hops")
+
+
+def exported(logs: DataFrame, chains: DataFrame, scores: DataFrame, entities: DataFrame, metrics: DataFrame | None, n: int = 20) -> DataFrame:
+    """The report as one row, to be written as JSON: eight figures of the run and the `n` riskiest chains.
+
+    scores (id, score): of addresses; metrics: evaluation.metrics(), or None without known attacks (its figures are null then).
+    """
+    own = ["chain_id", "chain_type", "total_risk_score", "confidence", "affected_assets", "mitre_techniques", "investigation_priority", "description"]
+    best = top(chains, n, "total_risk_score", "chain_id")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("total_risk_score")).alias("order"), *own)))
+    listed = best.agg(F.transform(order, lambda c: F.struct(*[c[x].alias(x) for x in own])).alias("chains"))
+    high = scores.agg(F.count_if(F.col("score") > 0.7).alias("high_risk"), F.count_if(F.col("score") > 0.9).alias("critical_risk"))
+    out = logs.agg(F.count("*").alias("events")).join(chains.agg(F.count("*").alias("chains_found"))).join(high)
+    out = out.join(entities.agg(F.count("*").alias("entities"))).join(listed)
+    if metrics is None:
+        return out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("precision", "recall", "f1")])
+    return out.join(metrics.select("precision", "recall", "f1"))
+
+
 def entities_page(profiles: DataFrame, kind: str | None = None, least: float = 0.0, n: int = 50) -> DataFrame:
     """The riskiest entities of a type, each with total: how many there are."""
     found = profiles.filter(F.col("score") >= least)

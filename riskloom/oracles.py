@@ -299,7 +299,24 @@ sql("entities_page", OLD, select=f" SELECT entity_id, 'ip' AS entity_type, {num(
 sql("service_counters", NODES, EDGES, RISKS, SCANS, select=" SELECT (SELECT count(*) FROM netlog) AS events, (SELECT count(*) FROM scan) AS chains")
 sql("chains_of_entities", NODES, EDGES, RISKS, SCANS, select=f" SELECT src AS entity_id, 'recon_scan' AS chain_type, {num('risk', 'total_risk_score')} FROM scan")
 sql("report_summary", NODES, EDGES, RISKS, SCANS, select=" SELECT count(*) AS chains, count(*) FILTER (risk >= 0.9) AS critical, count(*) FILTER (risk >= 0.7 AND risk < 0.9) AS high, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS types FROM scan")
-ORACLE_SQL["injected_records"] = "SELECT * FROM (VALUES ('c2_beacon', 72), ('lateral_movement', 4), ('data_exfil', 50), ('dga_activity', 200), ('recon_scan', 500)) v(attack, n)"
+sql("injected_records", select=" SELECT * FROM (VALUES ('c2_beacon', 90, 2), ('lateral_movement', 8, 4), ('data_exfil', 80, 2), ('dga_activity', 300, 2), ('recon_scan', 500, 1)) v(attack, n, sources) UNION ALL SELECT 'none', count(*), count(DISTINCT src_ip) FROM netlog")
+sql("running_risk", "newest AS (SELECT src_ip, max(ts_ms) AS t FROM netlog GROUP BY 1)", select=f" SELECT src_ip AS entity_id, {num('sum(severity / 10.0 * pow(0.5, (t - ts_ms) / 86400000.0))', 'score')}, any_value(t) AS last_updated FROM netlog JOIN newest USING (src_ip) GROUP BY src_ip")
+sql("target_novelty", "half AS (SELECT (min(ts_ms) + max(ts_ms)) / 2 AS half FROM netlog)", "known AS (SELECT DISTINCT src_ip, dst_ip, true AS old FROM netlog, half WHERE ts_ms < half)", select=" SELECT src_ip, count(*) AS events, count(*) FILTER (old IS NULL) AS new_targets FROM netlog CROSS JOIN half LEFT JOIN known USING (src_ip, dst_ip) WHERE ts_ms >= half GROUP BY src_ip")
+sql(
+    "core_distances", VOLUME_CTE, TAILS_CTE,
+    "pts AS (SELECT src_ip, event_type, max(p) FILTER (feature = 'unique_dst_ips') AS a, max(p) FILTER (feature = 'unique_dst_ports') AS b, max(p) FILTER (feature = 'bytes_out_total') AS c FROM tails GROUP BY 1, 2)",
+    select=f" SELECT x.src_ip, x.event_type, {num('list_sort(list(sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2 + (x.c - y.c) ** 2)))[least(10, count(*))]', 'core')} FROM pts x CROSS JOIN pts y GROUP BY x.src_ip, x.event_type",
+)
+sql(
+    "exported_report", NODES, EDGES, RISKS, SCANS, LATERAL,
+    "ch AS (SELECT 'recon_scan' AS chain_type, risk FROM scan UNION ALL SELECT 'lateral_movement', risk FROM two)",
+    "b20 AS (SELECT * FROM ch ORDER BY risk DESC, chain_type LIMIT 20)",
+    select=" SELECT (SELECT count(*) FROM netlog) AS events, (SELECT count(*) FROM ch) AS chains_found, count(*) FILTER (risk_score > 0.7) AS high_risk, count(*) FILTER (risk_score > 0.9) AS critical_risk, count(*) AS entities, (SELECT string_agg(printf('%.4f', risk), ',' ORDER BY risk DESC) FROM b20) AS chains FROM nodes WHERE entity_type = 'ip'",
+)
+sql(
+    "entity_neighbors", "one AS (SELECT src_ip AS id FROM netlog GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
+    select=" SELECT DISTINCT id AS entity_id, CASE WHEN src_ip = id THEN dst_ip ELSE src_ip END AS neighbor, CAST(1 AS INTEGER) AS hops FROM netlog JOIN one ON src_ip = id OR dst_ip = id WHERE src_ip <> dst_ip",
+)
 # density: quartile cells of neighbouring features
 NAMES = "event_count events_per_sec unique_dst_ips unique_dst_ports unique_domains bytes_out_total bytes_in_total byte_ratio".split()
 PAIRS = " UNION ALL ".join(f"SELECT src_ip, event_type, {i} AS pair, {a} AS a, {b} AS b FROM cells" for i, (a, b) in enumerate(zip(NAMES, NAMES[1:] + NAMES[:1], strict=True)))

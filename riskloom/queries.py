@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import net, text
 from .lineage import saved
-from .operators import chains, detectors, dga, evaluation, features, graph, intel, paths, risk
+from .operators import autoencoder, chains, density, detectors, dga, evaluation, features, graph, intel, paths, risk
 from .plans import pipeline
 from .sources import dns, etw, syslog, waf
 from .sources.netlog import netlog
@@ -488,25 +488,90 @@ def weak_labels(spark, d):
     return rounded(evaluation.weak_labels(netlog(spark, d)))
 
 
+def with_attacks(spark, d):
+    """The table's records with nine attacks among them, and the attacks."""
+    return evaluation.inject(netlog(spark, d), 1_718_400_000_000)
+
+
 @query
 def evaluation_metrics(spark, d):
-    logs, truth = evaluation.demo_logs(spark, 1_718_400_000_000)
-    out = pipeline.run(logs)
-    return evaluation.metrics(truth, out.chains, 0.5)
+    logs, truth = with_attacks(spark, d)
+    return evaluation.metrics(truth, pipeline.run(logs).chains, 0.5)
 
 
 @query
 def injected_records(spark, d):
-    logs, _ = evaluation.demo_logs(spark, 1_718_400_000_000)
-    return evaluation.injected(logs).groupBy(F.try_element_at("tags", F.lit(-1)).alias("attack")).agg(F.count("*").alias("n"))
+    logs, _ = with_attacks(spark, d)
+    found = evaluation.injected(logs).groupBy(F.try_element_at("tags", F.lit(-1)).alias("attack")).agg(F.count("*").alias("n"), F.count_distinct("src_ip").alias("sources"))
+    rest = logs.filter(F.size("tags") == 0).agg(F.lit("none").alias("attack"), F.count("*").alias("n"), F.count_distinct("src_ip").alias("sources"))
+    return found.unionByName(rest)
 
 
 @query
 def evaluation_per_type(spark, d):
-    logs, truth = evaluation.demo_logs(spark, 1_718_400_000_000)
+    logs, truth = with_attacks(spark, d)
     return evaluation.per_type(truth, pipeline.run(logs).chains, 0.5)
 
 
+@query
+def running_risk(spark, d):
+    """The decaying risk of every source as the stream leaves it, over records that are all there."""
+    logs = netlog(spark, d).select(F.col("src_ip").alias("entity_id"), "timestamp", (F.col("severity") / 10).alias("score"))
+    return rounded(state.risk_batch(logs, 24.0))
+
+
+@query
+def target_novelty(spark, d):
+    """New targets of the second half of the time, by source, against a baseline of the first."""
+    logs = netlog(spark, d)
+    half = logs.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).alias("half"))
+    cut = logs.join(F.broadcast(half))
+    known = state.merge_targets(state.targets_of(cut.filter("ts_ms < half")))
+    return state.with_novelty(cut.filter("ts_ms >= half"), known).groupBy("src_ip").agg(F.count("*").alias("events"), F.count_if("new_target").alias("new_targets"))
+
+
+@query
+def core_distances(spark, d):
+    """Exact distance of each entity to its tenth nearest, in the empirical tails of three features."""
+    names = ["unique_dst_ips", "unique_dst_ports", "bytes_out_total"]
+    tails = detectors.left_tails(features.entity_features(netlog(spark, d)), features.KEYS, names)
+    wide = tails.groupBy(*features.KEYS).pivot("feature", names).agg(F.first("p"))
+    rows, one = density.points(wide, features.KEYS, names)
+    core = density.core_distances(one, density.nearest(one, 10), 10)
+    return rounded(rows.join(core, "id").select(*features.KEYS, "core"))
+
+
+@query
+def density_clusters(spark, d):
+    names = ["unique_dst_ips", "unique_dst_ports", "bytes_out_total"]
+    tails = detectors.left_tails(features.entity_features(netlog(spark, d)), features.KEYS, names)
+    wide = tails.groupBy(*features.KEYS).pivot("feature", names).agg(F.first("p"))
+    return density.density_clusters(wide, features.KEYS, names, least=25)
+
+
+@query
+def autoencoder_scores(spark, d):
+    return autoencoder.autoencoder(features.entity_features(netlog(spark, d)), features.KEYS, list(features.FEATURES))
+
+
+@query
+def exported_report(spark, d):
+    """The summary and the chains of the exported report, over the scanning and lateral chains."""
+    nodes, edges = scored_graph(spark, d)
+    mined = chains.enrich(chains.scans(nodes, edges, 0.9, 10, 5).unionByName(chains.lateral(nodes, edges, 50, 0.9)))
+    scores = nodes.filter("entity_type = 'ip'").select("id", F.col("risk_score").alias("score"))
+    out = risk.exported(netlog(spark, d), mined, scores, scores, None)
+    first = F.array_join(F.transform("chains", lambda c: F.format_number(c["total_risk_score"], 4)), ",")
+    return out.select("events", "chains_found", "high_risk", "critical_risk", "entities", first.alias("chains"))
+
+
+@query
+def entity_neighbors(spark, d):
+    logs = netlog(spark, d)
+    one = logs.groupBy("src_ip").count().orderBy(F.desc("count"), "src_ip").first().src_ip
+    return risk.neighbors(graph.build_edges(logs), one, 1)
+
+
 @query
 def pipeline_scores(spark, d):
     return pipeline.run(netlog(spark, d), cut=0.30).scores

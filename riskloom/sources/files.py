@@ -54,9 +54,12 @@ def from_text(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return with_ts_ms(get_parser(kind)(lines))
 
 
-def normalize(spark: SparkSession, path: str, out: str, kind: str, pattern: str = "*.{log,txt}") -> None:
-    """Parse files below path into Parquet, a folder for each day."""
-    logs = get_parser(kind)(read_lines(spark, path, pattern))
+def normalize(spark: SparkSession, path: str, out: str, kind: str, pattern: str = "*.{log,txt,xml}") -> None:
+    """Parse files below path into Parquet, a folder for each day. Event XML may go over several lines."""
+    lines = read_lines(spark, path, pattern)
+    if kind == "etw" and not lines.filter(F.contains("value", F.lit("<Event"))).isEmpty():
+        lines = read_events(spark, path, pattern)
+    logs = get_parser(kind)(lines)
     logs.withColumn("date", F.to_date("timestamp")).write.mode("overwrite").option("compression", "zstd").partitionBy("source_type", "date").parquet(out)
 
 

@@ -188,8 +188,8 @@ def test_metrics(spark):
 
 def test_injectors(spark):
     logs, truth = evaluation.demo_logs(spark, 0)
-    assert logs.filter(F.exists("tags", lambda t: t == "injected")).count() == 72 + 4 + 50 + 200 + 500
-    assert truth.count() == 5 and evaluation.ransomware(spark, "a", "b", 0).count() == 210
+    assert logs.filter(F.exists("tags", lambda t: t == "injected")).count() == 72 + 18 + 2 * 4 + 50 + 30 + 200 + 100 + 500
+    assert truth.count() == 9 and evaluation.ransomware(spark, "a", "b", 0).count() == 210
 
 
 def test_detectors_stay_in_range(spark):
