@@ -28,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textkit import chunks
+from .textkit import chunks, freed
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker keeps from chunk to chunk: two generations of this many.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
+#: Pairs of pieces whose standing side by side is remembered; then all are found anew.
+KEPT_PAIRS = 300_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -102,7 +104,7 @@ def merged(m: Model, symbols: list[str]) -> list[str]:
 def follow(m: Model, left: str, right: str) -> bool:
     """Whether merging the characters of both leaves the two pieces side by side."""
     if (known := m.pairs.get((left, right))) is None:
-        if len(m.pairs) > 2_000_000:
+        if len(m.pairs) > KEPT_PAIRS:
             m.pairs.clear()
         known = m.pairs[left, right] = merged(m, list(left + right)) == [left, right]
     return known
@@ -216,6 +218,7 @@ def encoded(docs: DataFrame, model: Model, ids: bool = True, decode: bool = True
     def run(batches):
         enc = Encoder(shared.value)
         for b in batches:
+            freed()
             for row, texts in texts_in(b.column("text")):
                 found = enc.encode(texts)
                 each = [np.frombuffer(x, "<i4") for x in found]

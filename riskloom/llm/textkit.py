@@ -7,6 +7,7 @@ A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def freed() -> None:
+    """Gives memory that earlier batches and stages have left free in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows as (first row, bytes, offsets); a run ends before it passes limit bytes."""
     if isinstance(texts, pa.ChunkedArray):
