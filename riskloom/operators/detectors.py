@@ -228,7 +228,12 @@ def gpd_threshold(scores: DataFrame, tail: float = 0.10, column: str = "score")
     scores = saved(scores.select(column))
     base = percentiles(scores, column, {"u": 1 - tail})
     over = scores.join(F.broadcast(base)).filter(s > F.col("u")).select((s - F.col("u")).alias("y"))
-    moments = over.agg(F.count("*").alias("k"), F.avg("y").alias("m"), F.var_pop("y").alias("v"), F.max("y").alias("most"))
+    moments = over.agg(F.count("*").alias("k"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    return tail_levels(base.join(moments))
+
+
+def tail_levels(df: DataFrame) -> DataFrame:
+    """threshold, investigation, critical from n (scores), u (where the tail begins), k (scores beyond), m and v (mean and variance of what they exceed u by)."""
     m, v = F.col("m"), F.greatest("v", F.lit(1e-12))
     xi = F.least(F.lit(1.0), F.greatest(F.lit(-0.5), 0.5 * (1 - m * m / v)))
     sigma = 0.5 * m * (1 + xi)
@@ -236,7 +241,31 @@ def gpd_threshold(scores: DataFrame, tail: float = 0.10, column: str = "score")
     fitted = (F.col("n") >= 100) & (F.col("k") > 0)
     level = lambda q: F.when(fitted, F.least(F.lit(1.0), F.col("u") + at(q))).otherwise(0.95)
     t1, t2 = level(0.1), level(0.01)
-    return base.join(moments).select(t1.alias("threshold"), F.greatest(t1, F.lit(0.70)).alias("investigation"), F.greatest(t2, F.lit(0.85)).alias("critical"))
+    return df.select(t1.alias("threshold"), F.greatest(t1, F.lit(0.70)).alias("investigation"), F.greatest(t2, F.lit(0.85)).alias("critical"))
+
+
+def score_sketch(scores: DataFrame, column: str = "score", by: list[str] | None = None, size: int = 800) -> DataFrame:
+    """(by, sketch): a quantile sketch of a column's values, a few KB whatever their number; null and NaN values are left out."""
+    return scores.filter(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(*(by or [])).agg(F.kll_sketch_agg_double(F.col(column).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, sketch) of the values of all sketches: so a stream's batches add up."""
+    return sketches.filter(F.col("sketch").isNotNull()).groupBy(*(by or [])).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketched_threshold(sketches: DataFrame, tail: float = 0.10, steps: int = 400) -> DataFrame:
+    """gpd_threshold() from merged sketches: the tail's moments are those of its quantiles at even steps. One row; 0.95 without values."""
+    one = merged_sketches(sketches)
+    ranks = F.array(*[F.lit(1 - tail + tail * (j + 0.5) / steps) for j in range(steps)])
+    one = one.withColumn("n", F.kll_sketch_get_n_double("sketch"))
+    some = lambda rank: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", rank))
+    q = one.select("n", some(F.lit(1 - tail)).alias("u"), some(ranks).alias("q"))
+    over = F.filter(F.transform("q", lambda x: x - F.col("u")), lambda y: y > 0)
+    q = q.select("n", "u", over.alias("y")).withColumn("k", F.size("y"))
+    mean = F.aggregate("y", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.col("k"), F.lit(0))
+    q = q.withColumn("m", mean).withColumn("v", F.aggregate("y", F.lit(0.0), lambda a, x: a + (x - F.col("m")) * (x - F.col("m"))) / F.nullif(F.col("k"), F.lit(0)))
+    return tail_levels(q.select(F.coalesce("n", F.lit(0)).alias("n"), "u", F.coalesce("k", F.lit(0)).alias("k"), "m", "v"))
 
 
 def explain(df: DataFrame, keys: list[str], features: list[str], top: int = 5) -> DataFrame:

@@ -301,6 +301,7 @@ sql("chains_of_entities", NODES, EDGES, RISKS, SCANS, select=f" SELECT src AS en
 sql("report_summary", NODES, EDGES, RISKS, SCANS, select=" SELECT count(*) AS chains, count(*) FILTER (risk >= 0.9) AS critical, count(*) FILTER (risk >= 0.7 AND risk < 0.9) AS high, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS types FROM scan")
 sql("injected_records", select=" SELECT * FROM (VALUES ('c2_beacon', 90, 2), ('lateral_movement', 8, 4), ('data_exfil', 80, 2), ('dga_activity', 300, 2), ('recon_scan', 500, 1)) v(attack, n, sources) UNION ALL SELECT 'none', count(*), count(DISTINCT src_ip) FROM netlog")
 sql("running_risk", "newest AS (SELECT src_ip, max(ts_ms) AS t FROM netlog GROUP BY 1)", select=f" SELECT src_ip AS entity_id, {num('sum(severity / 10.0 * pow(0.5, (t - ts_ms) / 86400000.0))', 'score')}, any_value(t) AS last_updated FROM netlog JOIN newest USING (src_ip) GROUP BY src_ip")
+sql("sketched_thresholds", VOLUME_CTE, select=" SELECT count(*) AS scores, true AS near FROM vol")
 sql("target_novelty", "half AS (SELECT (min(ts_ms) + max(ts_ms)) / 2 AS half FROM netlog)", "known AS (SELECT DISTINCT src_ip, dst_ip, true AS old FROM netlog, half WHERE ts_ms < half)", select=" SELECT src_ip, count(*) AS events, count(*) FILTER (old IS NULL) AS new_targets FROM netlog CROSS JOIN half LEFT JOIN known USING (src_ip, dst_ip) WHERE ts_ms >= half GROUP BY src_ip")
 sql(
     "core_distances", VOLUME_CTE, TAILS_CTE,

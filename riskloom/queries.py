@@ -111,6 +111,16 @@ def gpd_thresholds(spark, d):
     return rounded(detectors.gpd_threshold(volume_scores(spark, d)))
 
 
+@query
+def sketched_thresholds(spark, d):
+    """The thresholds from sketches of each event type's scores, merged: within a hundredth of the exact ones or not."""
+    scores = volume_scores(spark, d)
+    near = detectors.sketched_threshold(detectors.score_sketch(scores, by=["event_type"])).select(F.col("threshold").alias("sketched"))
+    exact = detectors.gpd_threshold(scores).select(F.col("threshold").alias("exact"))
+    n = scores.agg(F.count("*").alias("scores"))
+    return near.join(exact).join(n).select("scores", (F.abs(F.col("sketched") - F.col("exact")) <= 0.01).alias("near"))
+
+
 @query
 def clipped_scores(spark, d):
     f = features.entity_features(netlog(spark, d))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.detectors import merged_sketches, score_sketch, sketched_threshold
 from ..operators.graph import build_edges, build_nodes
 from .store import StateStore, Table, query_id
 
@@ -33,11 +34,16 @@ def merge_targets(rows: DataFrame) -> DataFrame:
     return rows.groupBy("src_ip", "dst_ip").agg(F.min("first_seen").alias("first_seen"), F.sum("events").alias("events"))
 
 
-#: The graph, and who has talked to whom.
+def merge_scores(rows: DataFrame) -> DataFrame:
+    return merged_sketches(rows, ["series"])
+
+
+#: The graph, who has talked to whom, and sketches of scores by series.
 TABLES = {
     "nodes": Table(("id",), lambda rows: merge_nodes(None, rows)),
     "edges": Table(("src", "dst", "edge_type"), lambda rows: merge_edges(None, rows)),
     "targets": Table(("src_ip", "dst_ip"), merge_targets),
+    "scores": Table(("series",), merge_scores),
 }
 
 
@@ -116,6 +122,22 @@ def sessions(logs: DataFrame, gap: str = "30 minutes", late: str = "10 minutes")
     return out.select("src_ip", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events")
 
 
+def threshold_stream(scores: DataFrame, store: StateStore, checkpoint: str, most_deltas: int = 16):
+    """A query that adds every micro-batch of scores (series, score) to the sketch of its series."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        store.append("scores", query_id(store.spark, checkpoint), n, score_sketch(batch, by=["series"]))
+        store.compact_when("scores", most_deltas)
+
+    return scores.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def thresholds(store: StateStore, series: str) -> DataFrame:
+    """threshold, investigation and critical of a series as its scores stand; those for few scores if it has none."""
+    found = store.lookup("scores", series=series)
+    return sketched_threshold(found if found is not None else store.spark.createDataFrame([], "sketch binary"))
+
+
 class DecayingRisk(StatefulProcessor):
     """Value state (score, at) for each entity: the sum of its scores, each halved every half-life up to the time `at` of the newest.
 

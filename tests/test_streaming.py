@@ -1,11 +1,12 @@
 """Streams with restarts, late rows and new checkpoints; the state store."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import graph
+from riskloom.operators import detectors, graph
 from riskloom.sources.netlog import netlog
 from riskloom.streaming import state
 
@@ -74,6 +75,25 @@ def test_a_target_stops_being_new(spark, tmp_path):
     assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 8: True, 9: False}
 
 
+def test_thresholds_of_a_stream(spark, tmp_path):
+    """Three batches of a skewed series: thresholds as near to the exact ones as the sketch's ranks; another series; none."""
+    rng = random.Random(8)
+    values = [min(1.0, rng.expovariate(6)) for _ in range(6000)]
+    rows = [("a", v) for v in values] + [("b", 0.5), ("b", None), ("b", float("nan"))]
+    spark.createDataFrame(rows, "series string, score double").repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("series string, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = state.graph_store(spark, str(tmp_path / "state"), buckets=4)
+    state.threshold_stream(stream, store, str(tmp_path / "cp"), most_deltas=2).awaitTermination()
+    got = state.thresholds(store, "a").first()
+    df = spark.createDataFrame([(v,) for v in values], "score double")
+    want = detectors.gpd_threshold(df).first()
+    off = 0.01  # ranks of a sketch of this size are off by less
+    low, high = (detectors.gpd_threshold(df, tail=0.10 + d).first() for d in (off, -off))
+    slack = abs(low.threshold - high.threshold) + 0.02
+    assert abs(got.threshold - want.threshold) <= slack and abs(got.critical - want.critical) <= 3 * slack
+    assert [state.thresholds(store, s).first().threshold for s in ("b", "nobody")] == [0.95, 0.95]
+
+
 SCORES = "entity_id string, timestamp timestamp, score double"
 
 
