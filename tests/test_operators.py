@@ -162,6 +162,51 @@ def test_rare_chain_paths_equal_all_paths(spark):
     assert sorted(got) == sorted(want, key=lambda x: x[:2])
 
 
+def test_every_rule_of_chain_types(spark):
+    """One path for each rule, in the order of the rules, and the default."""
+    i, o = [f"10.0.0.{k}" for k in range(9)], ["203.0.113.1", "203.0.113.2"]
+    cases = [
+        ([i[0], i[1], i[2]], ["auth", "network"], 1, 0, 0, "lateral_movement"),
+        ([i[0], o[0]], ["dns"], 1, 0, 0, "dga_activity"),
+        (i[:6], ["network"] * 5, 1, 0, 0, "recon_scan"),
+        ([i[0], o[0]], ["network"], 1, 8, 5, "recon_scan"),
+        ([i[0], o[0]], ["network"], 8, 1, 1, "data_exfil"),
+        ([i[0], i[1], o[0]], ["network", "network"], 1, 1, 1, "data_exfil"),
+        ([i[0], o[0]], ["network"], 7, 7, 9, "c2_beacon"),
+        ([o[0], o[1]], ["file"], 1, 0, 0, "c2_beacon"),
+        ([i[0], i[1], i[2], i[3]], ["file", "process", "http"], 1, 0, 0, "supply_chain"),
+        ([i[0], i[1], i[2]], ["network", "network"], 1, 0, 0, "lateral_movement"),
+        ([i[0], i[1]], ["file"], 1, 0, 0, "suspicious_activity"),
+    ]
+    rows = [([(p, "x", 0.0) for p in path], [(a, b, t, n) for a, b, t in zip(path, path[1:], types, strict=False)], degree, ports, kind) for path, types, n, degree, ports, kind in cases]
+    df = spark.createDataFrame(rows, f"nodes array<{chains.NODE}>, links array<{chains.EDGE}>, degree int, ports int, kind string")
+    got = df.select("kind", chains.path_type(F.col("nodes"), F.col("links"), F.col("degree"), F.col("ports")).alias("got")).collect()
+    assert [r.got for r in got] == [r.kind for r in got]
+
+
+def test_paths_traced_from_both_ends(spark):
+    """The first by name of the shortest, in the direction of the edges; plans don't grow with the hops allowed."""
+    edges = [("a", "c"), ("a", "b"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "f"), ("f", "a"), ("x", "y"), *[(f"h{k}", f"h{k + 1}") for k in range(7)]]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    trace = lambda s, t, n=5: [r.node for r in graph.trace_path(df, s, t, n).orderBy("hop").collect()]
+    assert trace("a", "f") == ["a", "b", "d", "e", "f"] and trace("f", "c") == ["f", "a", "c"] and trace("a", "a") == ["a"]
+    assert trace("a", "y") == trace("y", "x") == trace("h0", "h7", 6) == trace("nobody", "a") == []
+    assert trace("h0", "h7", 8) == [f"h{k}" for k in range(8)]
+    size = lambda n: len(graph.trace_path(df, "h0", f"h{n}", n)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert size(7) <= size(2)
+
+
+def test_report_export_and_node_link(spark):
+    n, e = scored(spark, [("10.0.0.1", "10.0.0.2", "network", 1), ("10.0.0.2", "10.0.0.3", "auth", 2), ("10.0.0.9", "10.0.0.8", "dns", 1)], {"10.0.0.1": 0.95, "10.0.0.2": 0.8, "10.0.0.3": 0.1, "10.0.0.8": 0.0, "10.0.0.9": 0.0})
+    near, links = graph.node_link(n, e, spark.createDataFrame([("10.0.0.1",)], "id string"), 1)
+    assert sorted((r.id, r.hops) for r in near.collect()) == [("10.0.0.1", 0), ("10.0.0.2", 1)] and [(r.source, r.target, r.key) for r in links.collect()] == [("10.0.0.1", "10.0.0.2", "network")]
+    assert [tuple(r) for r in risk.neighbors(e, "10.0.0.2").orderBy("neighbor").collect()] == [("10.0.0.2", "10.0.0.1", 1), ("10.0.0.2", "10.0.0.3", 1)]
+    mined = chains.enrich(chain_rows(spark, *[(f"c{k:02}", "c2_beacon", "xy") for k in range(25)]).selectExpr("chain_id", "chain_type", "nodes", "double(right(chain_id, 2)) / 100 as total_risk_score", "0.5D as confidence", "array('x') as affected_assets"))
+    out = risk.exported(e, mined, n.selectExpr("id", "risk_score as score"), n, None).first()
+    assert (out.events, out.chains_found, out.high_risk, out.critical_risk, out.entities, out.f1) == (3, 25, 2, 1, 5, None)
+    assert [c.chain_id for c in out.chains] == [f"c{k:02}" for k in range(24, 4, -1)]
+
+
 def test_contained_chains_go(spark):
     def c(i, who, risk):
         return (i, "x", [(w, "source", 0.0) for w in who], [], risk, risk, 0, 0, list(who))
