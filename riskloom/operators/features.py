@@ -62,7 +62,7 @@ def timing(logs: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n"),
         F.count(up).alias("m"),
         F.sum(up).alias("s"),
-        F.sum((up * up).cast("decimal(38,0)")).alias("ss"),
+        F.sum(up.cast("decimal(19,0)") * up.cast("decimal(19,0)")).alias("ss"),  # gaps over 35 days pass 64 bits
         F.min(up).alias("low"),
         F.max(up).alias("high"),
         F.count("gap").alias("k"),

@@ -34,6 +34,12 @@ def test_periodic_gaps(spark):
     assert 0.85 < r.regularity < 0.95
 
 
+def test_gaps_of_months(spark):
+    month = 31 * 86_400_000
+    r = features.entity_features(logs(spark, *[dict(src_ip="a", event_type="network_connect", ts_ms=i * i * month) for i in range(4)])).first()
+    assert r.mean_iat == pytest.approx(3 * month / 1000) and r.std_iat == pytest.approx(2 * month / 1000)
+
+
 def test_features_of_nothing(spark):
     assert features.entity_features(logs(spark)).count() == 0
     r = features.entity_features(logs(spark, dict(event_type="dns_query", ts_ms=5))).first()
