@@ -34,9 +34,9 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a worker keeps from chunk to chunk: two generations of this many.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 #: Pairs of pieces whose standing side by side is remembered; then all are found anew.
-KEPT_PAIRS = 300_000
+KEPT_PAIRS = 1_000_000
 UNKNOWN_PENALTY = 10.0
 
 
