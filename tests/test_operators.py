@@ -46,6 +46,18 @@ def test_features_of_nothing(spark):
     assert r.src_ip == "unknown" and r.event_count == 1 and r.mean_domain_len == 0
 
 
+def test_features_read_rows_once_for_all_distinct_counts(spark):
+    rows = [dict(src_ip="a", event_type="auth_failure", dst_ip=f"d{i % 3}", dst_port=i % 2, user=("u1", "u2", "", None)[i % 4], ts_ms=i) for i in range(8)]
+    df = features.entity_features(logs(spark, *rows))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "user" not in " ".join(x for x in plan.splitlines() if "Join" in x)  # rows without a user met in one task
+    r = df.first()
+    assert (r.unique_dst_ips, r.unique_dst_ports, r.unique_users_attempted, r.new_user_auth, r.dst_port_entropy) == (3, 2, 2, 1, 1)
+    for seen, new in ((["u1", "u2", "d0"], 0), (["u2"], 1)):
+        r = features.entity_features(logs(spark, *rows), spark.createDataFrame([(u, 9) for u in seen], "ip string, n long")).first()
+        assert r.new_user_auth == new and r.new_ip_fraction == pytest.approx(2 / 3 if "d0" in seen else 1)
+
+
 def test_scalar_functions(spark):
     df = spark.createDataFrame([("aabb",), ("",), (None,), ("bcdfg1",)], "t string")
     got = df.select(text.shannon_entropy(F.col("t")).alias("e"), text.consonant_vowel_ratio(F.col("t")).alias("cv"), text.max_consonant_run(F.col("t")).alias("run"), text.digit_fraction(F.col("t")).alias("d")).collect()
