@@ -296,3 +296,26 @@ def test_ranks_and_percentiles(spark):
     for r in tails.collect():
         v = r.value if r.feature == "v" else -r.value
         assert abs(r.p - sum(x <= v if r.feature == "v" else x >= v for x in known) / len(known)) < 1e-12
+
+
+def test_labels_send_a_row_an_edge(spark):
+    """The heaviest labels are those of all simple paths, and no path goes into the shuffle before the cut."""
+    rng = random.Random(5)
+    rows = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(60)})
+    rows = [(a, b, float(rng.randrange(1, 5))) for a, b in rows if a != b]
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    start = edges.select(F.col("src").alias("id")).distinct()
+    out = paths.labels(edges, start, 3, 4)
+    w, all_ = {(a, b): x for a, b, x in rows}, [[a] for a in {a for a, _, _ in rows}]
+    for hops in range(1, 4):
+        all_ = [p + [b] for p in all_ for (a, b) in w if a == p[-1] and b not in p]
+        want = {}
+        for p in all_:
+            want.setdefault(p[-1], []).append(sum(w[e] for e in zip(p, p[1:])))
+        for r in out.filter(F.col("hops") == hops).collect():
+            top = sorted(want.get(r.id, []), reverse=True)
+            sure = [x.w for x in r.found if r.lost is None or x.w >= r.lost]  # what was lost on the way may come before the others
+            assert sure == top[: len(sure)] and (r.lost is not None or len(top) == len(r.found))
+            assert all(x.w == sum(w[e] for e in zip(x.path, x.path[1:])) and x.path[-1] == r.id and len(set(x.path)) == hops + 1 for x in r.found)
+    sent = spark.createDataFrame([("x", f"s{i}", [(float(i), 0)]) for i in range(50)], "id string, src string, own array<struct<w: double, place: int>>")
+    assert {r.src for r in paths.heaviest_edges(sent, 3).collect()} == {"s49", "s48", "s47"}
