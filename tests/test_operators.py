@@ -319,3 +319,25 @@ def test_labels_send_a_row_an_edge(spark):
             assert all(x.w == sum(w[e] for e in zip(x.path, x.path[1:])) and x.path[-1] == r.id and len(set(x.path)) == hops + 1 for x in r.found)
     sent = spark.createDataFrame([("x", f"s{i}", [(float(i), 0)]) for i in range(50)], "id string, src string, own array<struct<w: double, place: int>>")
     assert {r.src for r in paths.heaviest_edges(sent, 3).collect()} == {"s49", "s48", "s47"}
+
+
+def test_sequences_of_copied_hosts_cost_as_one(spark):
+    """Hosts with the same events count each, but only one of them is followed; all equals a plain search."""
+    rng = random.Random(6)
+    own = {f"h{h}": [(f"e{rng.randrange(2)}", f"t{rng.randrange(3)}") for _ in range(6)] for h in range(4)}
+    hosts = own | {f"{h}-{i}": x for h, x in own.items() for i in range(5)} | {"short": own["h0"][:3]}
+    rows = [dict(src_ip=h, event_type=e, dst_ip=t, ts_ms=i) for h, x in hosts.items() for i, (e, t) in enumerate(x)]
+    have = {}
+    for h, x in hosts.items():
+        grown = {((f"{e}|{t}",), i) for i, (e, t) in enumerate(x)}
+        for _ in range(3):
+            for q, _ in grown:
+                have.setdefault(q, set()).add(h)
+            grown = {((*q, "|".join(x[j])), j) for q, i in grown for j in range(i + 1, min(i + 4, len(x)))}
+    want = {q: len(h) for q, h in have.items() if len(h) >= 2 and len({y.split("|")[1] for y in q}) >= 2}
+    df = logs(spark, *rows)
+    got = {tuple(r.sequence): r.freq for r in chains.sequences(df, length=3, rare=1.1).collect()}
+    assert got == want and len(want) > 20
+    events = df.select("src_ip", F.col("event_type").alias("item"), F.col("ts_ms").alias("at"))
+    followed, _, n = chains.host_copies(events)
+    assert followed.select("host").distinct().count() <= 5 and n.first().hosts == len(hosts)
