@@ -92,10 +92,13 @@ def cut(g: str, letters: int) -> Column:
 
 
 def backoff(counts: DataFrame) -> DataFrame:
-    """(s, p): the shared probability of the last letter of every five-letter ending of a gram."""
-    levels = {ORDER - 1: counts.select(cut("g", ORDER - 1).alias("s")).groupBy("s").agg(F.count("*").alias("c"))}
+    """(s, p): the shared probability of the last letter of every five-letter ending of a gram.
+
+    The levels are saved: each is used twice, so a plan of all of them would hold the upper ones again and again.
+    """
+    levels = {ORDER - 1: saved(counts.select(cut("g", ORDER - 1).alias("s")).groupBy("s").agg(F.count("*").alias("c")))}
     for k in range(ORDER - 2, 0, -1):
-        levels[k] = levels[k + 1].select(cut("s", k).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
+        levels[k] = saved(levels[k + 1].select(cut("s", k).alias("s")).groupBy("s").agg(F.count("*").alias("c")))
     p = None
     for k in range(1, ORDER):
         here = levels[k].withColumn("h", F.shiftright("s", 8))
@@ -190,6 +193,13 @@ def training(labels: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+def by_key(df: DataFrame) -> list[np.ndarray]:
+    """The columns of (key, value) by ascending key; they come to the driver as Arrow, a few bytes a row."""
+    key, value = (c.to_numpy() for c in df.toArrow().columns)
+    order = np.argsort(key)
+    return [key[order], value[order]]
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = saved(training(labels))  # 48,000 rows at most
     mine = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id", "left")
@@ -202,14 +212,16 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer:
     joined = seen.join(of, "h").withColumn("s", cut("g", ORDER - 1)).join(backoff(counts), "s")
     p = {c: F.when(F.col(c) > 0, (F.col(c) - DISCOUNT) / F.col(f"{c}_n")).otherwise(0.0) + F.col(f"{c}_w") * F.col("p") for c in ("tox", "ord")}
     # bounded by FIT_ROWS: grams of the fitted rows alone
-    g = joined.select("g", (F.log(p["tox"]) - F.log(p["ord"])).cast("float").alias("v")).toPandas().sort_values("g")
-    h = of.select("h", (F.log("tox_w") - F.log("ord_w")).cast("float").alias("v")).toPandas().sort_values("h")
-    scorer = Scorer(*(x.to_numpy() for x in (g.g, g.v, h.h, h.v)))
+    g, g_score = by_key(joined.select("g", (F.log(p["tox"]) - F.log(p["ord"])).cast("float").alias("v")))
+    h, h_score = by_key(of.select("h", (F.log("tox_w") - F.log("ord_w")).cast("float").alias("v")))
+    scorer = Scorer(g, g_score, h, h_score)
     chosen = docs.select("doc_id", "text").join(F.broadcast(rows.filter("part = 'calibrate'")), "doc_id")
-    known = features(chosen, scorer, "cls int").toPandas()
-    if len(g) and known.cls.nunique() == 2:
+    known = features(chosen, scorer, "cls int").toArrow()
+    cls = known.column("cls").to_numpy()
+    if len(g) and len(np.unique(cls)) == 2:
         share = {r["cls"]: r["stands_for"] for r in rows.filter("part = 'calibrate'").select("cls", "stands_for").distinct().collect()}
-        scorer.weights = logistic(known[["a", "b", "c"]].to_numpy(), known.cls.to_numpy(), known.cls.map(share).to_numpy())
+        x = np.column_stack([known.column(c).to_numpy() for c in "abc"])
+        scorer.weights = logistic(x, cls, np.where(cls == 1, share[1], share[0]))
     return scorer
 
 

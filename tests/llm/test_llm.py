@@ -504,3 +504,18 @@ def test_pipeline_keeps_and_drops(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in at.collect())
     assert all(r.round_trip and len(r.ids) == r.n_tokens for r in out)
+
+
+def test_toxicity_backoff_holds_every_level_once(spark):
+    """A plan in which the upper levels come again under every lower one outgrew the driver's memory."""
+    letters = [int.from_bytes(w[::-1].ljust(6), "little") for w in (b"abcdef", b"bcdefg", b"cdefgh", b"xbcdef")]
+    counts = spark.createDataFrame([(g, 1, 0) for g in letters], "g long, tox long, ord long")
+    p = toxicity.backoff(counts)
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == toxicity.ORDER - 1
+    assert p.count() == 3 and p.filter("p <= 0 or p >= 1").isEmpty()
+
+
+def test_toxicity_rows_come_to_the_driver_by_key(spark):
+    key, value = toxicity.by_key(spark.createDataFrame([(3, 0.5), (1, 1.5), (2, -1.0)], "g long, v float"))
+    assert key.tolist() == [1, 2, 3] and value.tolist() == [1.5, -1.0, 0.5] and value.dtype == np.float32
+    assert all(len(x) == 0 for x in toxicity.by_key(spark.createDataFrame([], "g long, v float")))
