@@ -341,3 +341,26 @@ def test_sequences_of_copied_hosts_cost_as_one(spark):
     events = df.select("src_ip", F.col("event_type").alias("item"), F.col("ts_ms").alias("at"))
     followed, _, n = chains.host_copies(events)
     assert followed.select("host").distinct().count() <= 5 and n.first().hosts == len(hosts)
+
+
+def test_reconstruction_makes_its_rows_once(spark):
+    """Scaler, components and errors all read the features, which are costly to make."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return float(x * x % 17)
+
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("a"), F.udf(seen, "double")("id").alias("b"), F.lit(3.0).alias("c"))
+    got = detectors.reconstruction(rows, ["k"], ["a", "b", "c"], components=1)
+    assert got.count() == 200 and got.filter("score < 0 or score > 1 or isnan(score)").isEmpty()
+    assert made.value < 3 * 200
+
+
+def test_text_statistics_look_at_no_character_in_a_lambda(spark):
+    df = spark.createDataFrame([("",), (None,), ("abab",), ("a\U0001f600\na\U0001f600",)], "t string")
+    out = df.select(text.shannon_entropy(F.col("t")).alias("e"), text.ngram_frequency_score(F.col("t")).alias("b"), text.unique_char_ratio(F.col("t")).alias("u"))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "slice(" not in plan and "replace(" not in plan
+    got = {(round(r.e, 6), round(r.b, 6), r.u) for r in out.collect()}
+    assert got == {(0.0, 0.0, 0.0), (1.0, 0.666667, 0.5), (1.521928, 0.75, 0.6)}
