@@ -364,3 +364,31 @@ def test_text_statistics_look_at_no_character_in_a_lambda(spark):
     assert "slice(" not in plan and "replace(" not in plan
     got = {(round(r.e, 6), round(r.b, 6), r.u) for r in out.collect()}
     assert got == {(0.0, 0.0, 0.0), (1.0, 0.666667, 0.5), (1.521928, 0.75, 0.6)}
+
+
+def test_the_hops_of_rare_paths_do_not_shuffle_the_graph(spark, monkeypatch):
+    """A hop's few paths go to the edges, whatever the size of the graph."""
+    edges = spark.sql("select concat('10.0.0.', id % 40) src, concat('10.0.0.', (id * 7 + 1) % 40) dst, 'network' edge_type, 1L event_count, id first_seen, id last_seen, 0.001 + id / 1000 freq from range(200)").filter("src <> dst")
+    nodes = edges.selectExpr("explode(array(src, dst)) id").distinct().withColumn("risk_score", F.lit(0.9))
+    plans, keep = [], chains.saved
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(chains, "saved", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert chains.rare_paths(nodes, edges, nodes, n_seeds=5, cut=0.1).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hops = [p for p in plans if "array_contains(path" in p and "row_number" not in p]
+    assert hops and not any("SortMergeJoin [at" in p for p in hops)
+
+
+def test_lateral_joins_risks_to_the_edges_of_pivots_only(spark):
+    rows = [("10.0.0.1", "10.0.0.2", "auth"), ("10.0.0.2", "10.0.0.3", "network"), ("10.0.0.8", "10.0.0.9", "network"), ("10.0.0.2", "10.0.0.2", "dns")]
+    edges = spark.createDataFrame([(a, b, t, 60, 0, 1) for a, b, t in rows], "src string, dst string, edge_type string, event_count long, first_seen long, last_seen long")
+    nodes = edges.selectExpr("explode(array(src, dst)) id").distinct().withColumn("risk_score", F.lit(0.5))
+    found = chains.lateral(nodes, edges).select("affected_assets").collect()
+    assert [r.affected_assets for r in found] == [["10.0.0.1", "10.0.0.2", "10.0.0.3"]]
