@@ -3,7 +3,7 @@
 A *unit* is a class of texts with one shingle set (id: 64-bit digest of the set). Input: rows
 (key, id) saying which buckets a unit is in. The linker
 
-1. keeps the buckets with two units or more;
+1. keeps the buckets with two units or more, of those with the same units one;
 2. draws a spanning forest over each of a share of them, nearest parity sketches first, and verifies its
    edges by the exact sets;
 3. takes components of the verified links, and draws forests in the buckets whose units are not all in
@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import components, joined_components, saved
-from .textkit import SPACED, chunks, distinct, mix, shingles, words
+from .textkit import SPACED, chunks, distinct, mix, shingles, signed, words
 
 #: Bits of a sketch: SHARP for each shingle, rounded up to a power of two, between these.
 SHARP, LEAST_BITS, MOST_BITS = 2, 128, 16384
 #: The first forests are drawn over one bucket in so many, where units are in many. Any choice gives the same components.
 FOREST_SHARE = 4
 #: Members of a bucket compared at a time, and pairs whose sketches are.
-BLOCK, PAIRS = 1024, 1 << 20
+BLOCK, PAIRS = 1024, 1 << 18
 
 
 def most_apart(a, b, num: int, den: int):
@@ -97,7 +97,11 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def crowded(keys: DataFrame) -> DataFrame:
-    """The (key, id) rows, without repeats, of buckets with two ids or more; block and blocks: of BLOCK members each."""
+    """The (key, id) rows of buckets with two ids or more, of buckets with the same ids one; block and blocks: of BLOCK members each.
+
+    key is then a digest of the bucket's ids: similar units meet in many buckets, and one says all. Were two digests equal,
+    their buckets would be one, which has no pair less.
+    """
 
     def run(batches):
         for t in grouped(batches, "key"):
@@ -109,11 +113,15 @@ def crowded(keys: DataFrame) -> DataFrame:
             size = np.diff(np.append(head, len(k)))
             block = (np.arange(len(k)) - np.repeat(head, size)) // BLOCK
             blocks = np.repeat(-(-size // BLOCK), size)
-            more = np.repeat(size > 1, size)
-            cols = [k, i, block.astype(np.int32), blocks.astype(np.int32)]
+            key = digests(i.view(np.uint64), np.append(head, len(k)))
+            once = np.zeros(len(head), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            more = np.repeat((size > 1) & once, size)
+            cols = [signed(np.repeat(key, size)), i, block.astype(np.int32), blocks.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c[more]) for c in cols], ["key", "id", "block", "blocks"])
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, block int, blocks int")
+    found = keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long, block int, blocks int")
+    return found.dropDuplicates(["key", "id"])
 
 
 class Sketches:
@@ -153,6 +161,15 @@ def pairs_of(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray,
     """All index pairs within runs of rows, about PAIRS at a time."""
     left, right, held = [], [], 0
     for s in np.unique(size[size > 1]):
+        if s * (s - 1) // 2 > PAIRS:  # some rows of a run at a time
+            step = max(1, PAIRS // int(s))
+            for start in first[size == s]:
+                for at in range(0, int(s) - 1, step):
+                    a = np.arange(at, min(at + step, int(s) - 1))
+                    i = np.repeat(a, s - 1 - a)
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(s - 1 - a) - (s - 1 - a), s - 1 - a) + i + 1
+                    yield start + i, start + j
+            continue
         a, b = np.triu_indices(s, 1)
         own = first[size == s]
         step = max(1, PAIRS // len(a))

@@ -519,3 +519,25 @@ def test_toxicity_rows_come_to_the_driver_by_key(spark):
     key, value = toxicity.by_key(spark.createDataFrame([(3, 0.5), (1, 1.5), (2, -1.0)], "g long, v float"))
     assert key.tolist() == [1, 2, 3] and value.tolist() == [1.5, -1.0, 0.5] and value.dtype == np.float32
     assert all(len(x) == 0 for x in toxicity.by_key(spark.createDataFrame([], "g long, v float")))
+
+
+def test_buckets_with_the_same_units_are_one(spark):
+    """Two units that meet in many buckets make one; a larger bucket with both stays."""
+    rows = [(k, i) for k in range(50) for i in (-7, 9)] + [(99, i) for i in (-7, 9, 11)] + [(100, 5)]
+    got = linker.crowded(spark.createDataFrame(rows, "key long, id long")).collect()
+    buckets: dict = {}
+    for r in got:
+        buckets.setdefault(r.key, []).append(r.id)
+    assert sorted(map(sorted, buckets.values())) == [[-7, 9], [-7, 9, 11]]
+
+
+@pytest.mark.parametrize("most", [3, 40, 1 << 18])
+def test_pairs_of_runs_come_some_at_a_time(monkeypatch, most):
+    monkeypatch.setattr(linker, "PAIRS", most)
+    size = np.array([1, 2, 30, 5, 30])
+    first = np.cumsum(size) - size
+    found = list(linker.pairs_of(first, size))
+    want = {(f + i, f + j) for f, s in zip(first.tolist(), size.tolist()) for i in range(s) for j in range(i + 1, s)}
+    pairs = [(int(a), int(b)) for i, j in found for a, b in zip(i, j)]
+    assert len(pairs) == len(want) and set(pairs) == want
+    assert max(len(i) for i, _ in found) <= 2 * max(most, 30)
