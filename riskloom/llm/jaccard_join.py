@@ -7,8 +7,11 @@ d members, so of m > d parts of the sketch one is equal in both (pigeonhole). Do
 buckets (band, part, value of the part); their sets are then compared exactly.
 
 Sketches are never laid out: a part has 2**32 bits, and only the XOR of its set bits' hashes is
-made, which is the same for equal parts. A part without set bits says nothing; a document with more
-other parts than d has an equal part among these, and the few others use the empty parts too.
+made, which is the same for equal parts. A part without set bits says nothing and would be shared by all
+texts of a size, so there are half as many parts again as d: then a document has more other parts than d.
+It uses the d + 1 that come first in an order which depends on a part's content alone (those with most
+shingles first): at most d of a document's parts are not in the other one, so the first equal part in that
+order is among the first d + 1 of both. The few documents without d + 1 such parts use the empty ones too.
 
 Null texts are empty. Texts without words have size 0 and link with nothing; they keep their own doc_id
 as component_id. Repeated rows each get a row; rows of one doc_id with different texts are judged each by
@@ -41,7 +44,7 @@ def bands(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
         most = ((high - 1) * den) // num
         if n <= most:
             d = most_apart(high - 1, most, num, den)
-            out.append((b, d, d + 1 + d // 16 + (d > 0)))
+            out.append((b, d, d + 1 + d // 2 + 2 * (d > 0)))
         low, b = high, b + 1
     return out
 
@@ -59,13 +62,17 @@ def part_keys(values: np.ndarray, first: np.ndarray, num: int, den: int) -> tupl
             order = np.argsort(part, kind="stable")
             at = np.flatnonzero(np.diff(part[order], prepend=-1))
             value = np.bitwise_xor.reduceat(bit[order], at)
-            where = part[order][at]
-            where, value = where[value != 0], value[value != 0]
-            if len(where) <= d:  # then an equal part may be an empty one
+            where, members = part[order][at], np.diff(np.append(at, len(part)))
+            where, members, value = where[value != 0], members[value != 0], value[value != 0]
+            few = len(where) <= d
+            if few:  # then an equal part may be an empty one
                 none = np.setdiff1d(np.arange(parts), where)
                 where, value = np.concatenate([where, none]), np.concatenate([value, np.zeros(len(none), np.uint64)])
-            keys.append(mix(value ^ mix(where.astype(np.uint64) + np.uint64((band + 1) << 40))))
-            owners.append(np.full(len(where), s))
+            key = mix(value ^ mix(where.astype(np.uint64) + np.uint64((band + 1) << 40)))
+            if not few:
+                key = key[np.lexsort((key, -members))[: d + 1]]
+            keys.append(key)
+            owners.append(np.full(len(key), s))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(owners)

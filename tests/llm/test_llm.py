@@ -541,3 +541,26 @@ def test_pairs_of_runs_come_some_at_a_time(monkeypatch, most):
     pairs = [(int(a), int(b)) for i, j in found for a, b in zip(i, j)]
     assert len(pairs) == len(want) and set(pairs) == want
     assert max(len(i) for i, _ in found) <= 2 * max(most, 30)
+
+
+def keys_by_set(sets_, num, den):
+    values = np.concatenate([np.sort(s) for s in sets_])
+    keys, owner = jaccard_join.part_keys(values, np.cumsum([0, *map(len, sets_)]), num, den)
+    return [set(keys[owner == i].tolist()) for i in range(len(sets_))]
+
+
+@pytest.mark.parametrize(("num", "den"), [(4, 5), (85, 100)])
+def test_unrelated_sets_share_no_bucket_and_near_ones_do(num, den):
+    """Parts without a shingle, the same in all sets of a size, once made buckets of a corpus's unrelated texts."""
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for n in (60, 230, 400, 600, 1000):
+        keys = keys_by_set([some(n) for _ in range(60)], num, den)
+        assert len(set().union(*keys)) == sum(map(len, keys))
+    for n in [*range(1, 80), 227, 363, 580]:
+        for _ in range(20):
+            both = some(n)
+            apart = both.size * den // num - both.size  # as many as the similarity allows, on both sides
+            one = rng.integers(0, apart + 1)
+            a, b = keys_by_set([np.concatenate([both, some(one)]), np.concatenate([both, some(apart - one)])], num, den)
+            assert a & b
