@@ -381,6 +381,36 @@ def test_embeddings_groups_of_many_near_copies(spark):
     assert embed_dedup.audit(df, found) >= 0.99
 
 
+@pytest.mark.parametrize("block", [4096, 150])
+def test_embeddings_pairs_of_near_copies_are_counted_not_written(spark, monkeypatch, block):
+    """A group of near copies: rows grow with its members, not with its pairs, whole or cut into blocks; no centre cuts it."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "SHARD", 200)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(300, 16))
+    x = np.concatenate([base[0] + 0.02 * rng.normal(size=(500, 16)), base, base[0][None], base[:1]])
+    x = x.astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    made, links = [], embed_dedup.links
+    monkeypatch.setattr(embed_dedup, "links", lambda *a: made.append(links(*a)) or made[0])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df).collect()}
+    want = union(len(x), np.argwhere(near))
+    assert got == {i: (int(near[i].sum()), want[i]) for i in range(len(x))}
+    assert made[0].count() < 10 * len(x) < near.sum() / 20  # before: a row for each pair
+    if block > len(x):
+        assert len(embed_dedup.centres(u[:500], 20, least=0.98)) == 1
+
+
+def test_embeddings_pair_close_to_the_bound(spark):
+    """What a product can't tell from the bound is measured."""
+    sims = np.array([[0.98, 0.98 - 1e-7, 0.5, 0.99]])
+    raw, others = np.array([[1.0, 0.0]]), np.array([[c, np.sqrt(1 - c * c)] for c in (0.9800001, 0.9799999, 0.5, 0.99)])
+    assert embed_dedup.verified(np.zeros((1, 4), bool), sims, raw, others, 0.98).tolist() == [[True, False, False, True]]
+
+
 LAYOUTS = [
     ({"messages": [{"role": "user", "content": "<a> \\l"}, {"role": "assistant", "content": "b"}]}, "messages"),
     ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": None}]}, "conversations"),
