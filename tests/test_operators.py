@@ -2,11 +2,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import net, text
-from riskloom.operators import chains, detectors, evaluation, features, graph, intel, paths, ranks, risk
+from riskloom.operators import chains, detectors, evaluation, features, graph, intel, paths, ranks, risk, sequences
 
 LOG = "event_id long, src_ip string, dst_ip string, dst_port int, proto string, event_type string, ts_ms long, bytes_out long, bytes_in long, user string, domain string, dns_rcode string, waf_rule_id string, severity int"
 
@@ -343,6 +344,47 @@ def test_sequences_of_copied_hosts_cost_as_one(spark):
     assert followed.select("host").distinct().count() <= 5 and n.first().hosts == len(hosts)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_sequences_grow_in_tasks_and_write_nothing(spark, monkeypatch, most):
+    """Nothing that grows is written; halves of what grows, more items than are broadcast and a host of one event give the same."""
+    monkeypatch.setattr(chains, "frequent", lambda *a: sequences.frequent(*a, most=most))
+    rng = random.Random(9)
+    hosts = {f"h{h}": [(f"e{rng.randrange(2)}", f"t{rng.randrange(4)}") for _ in range(14)] for h in range(5)} | {"short": [("e0", "t0")]}
+    rows = [dict(src_ip=h, event_type=e, dst_ip=t, ts_ms=i) for h, x in hosts.items() for i, (e, t) in enumerate(x)]
+    have = {}
+    for h, x in hosts.items():
+        grown = {((f"{e}|{t}",), i) for i, (e, t) in enumerate(x)}
+        for _ in range(5):
+            for q, _ in grown:
+                have.setdefault(q, set()).add(h)
+            grown = {((*q, "|".join(x[j])), j) for q, i in grown for j in range(i + 1, min(i + 4, len(x)))}
+    want = {q: len(h) for q, h in have.items() if len(h) >= 2 and len({y.split("|")[1] for y in q}) >= 2}
+    made, written, saved = [], chains.written, chains.saved
+    monkeypatch.setattr(chains, "written", lambda df: made.append(df.columns) or written(df))
+    monkeypatch.setattr(chains, "saved", lambda df: made.append(df.columns) or saved(df))
+    out = chains.sequences(logs(spark, *rows), length=5, rare=1.1)
+    assert {tuple(r.sequence): r.freq for r in out.collect()} == want and len(want) > 100
+    assert len(made) == 4 and not any(set(c) & {"sequence", "before"} for c in made)  # before: two tables for each length
+
+
+def test_sequences_grow_by_halves(monkeypatch):
+    """What a task holds is bounded, and the same is found."""
+    rng = np.random.default_rng(3)
+    words, n = rng.integers(0, 4, 60), 20  # three hosts of 20 events
+    rows = []
+    for h in range(3):
+        own = words[h * n : h * n + n].tolist()
+        rows += [(h, 1, i, own[i], s, own[i + 1 : i + 10]) for i in range(n) for s in set(own[i + 1 : i + 4])]
+    rows.sort(key=lambda r: (r[3], r[4]))
+    names = ["host", "hosts", "at", "word", "second", "next"]
+    t = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    told = lambda: sorted((tuple(p), int(f)) for t_ in sequences.chunks(iter(t.to_batches(max_chunksize=7))) for paths, freq in sequences.mined(t_, 2, 4, 3) for p, f in zip(paths.tolist(), freq, strict=True))
+    want = told()
+    monkeypatch.setattr(sequences, "MOST", 10)
+    monkeypatch.setattr(sequences, "CHUNK", 5)
+    assert told() == want and len(want) == len(set(want)) > 100
+
+
 def test_reconstruction_makes_its_rows_once(spark):
     """Scaler, components and errors all read the features, which are costly to make."""
     made = spark.sparkContext.accumulator(0)
