@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import net, text
 from riskloom.operators import chains, detectors, evaluation, features, graph, intel, paths, ranks, risk, sequences
+from riskloom.queries import QUERIES
 
 LOG = "event_id long, src_ip string, dst_ip string, dst_port int, proto string, event_type string, ts_ms long, bytes_out long, bytes_in long, user string, domain string, dns_rcode string, waf_rule_id string, severity int"
 
@@ -344,6 +345,14 @@ def test_sequences_of_copied_hosts_cost_as_one(spark):
     assert followed.select("host").distinct().count() <= 5 and n.first().hosts == len(hosts)
 
 
+def test_pipeline_scores_mine_no_chains(spark, sf_dir, monkeypatch):
+    """What a query doesn't return isn't made."""
+    monkeypatch.setattr(chains, "mine", None)
+    monkeypatch.setattr(detectors, "detect", lambda f, keys, names, paths: f.select(*keys).crossJoin(paths.agg(F.max("score").alias("score"))))
+    monkeypatch.setattr(paths, "rarest_paths", lambda rarity: rarity.select(F.col("src").alias("id"), F.array().cast("array<struct<mean: double, path: array<string>>>").alias("paths")))
+    assert QUERIES["pipeline_scores"](spark, sf_dir).count() > 10
+
+
 @pytest.mark.parametrize("most", [1_000_000, 3])
 def test_sequences_grow_in_tasks_and_write_nothing(spark, monkeypatch, most):
     """Nothing that grows is written; halves of what grows, more items than are broadcast and a host of one event give the same."""
